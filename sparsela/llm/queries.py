@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, packing, token_counts
-from .text import documents
+from . import chat, language_id, packing, quality_model, token_counts, toxicity
+from .text import crc_mod, documents
 
 
 def op2_chat_formatting(spark, sf_dir):
@@ -15,15 +15,33 @@ def op2_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_chats(talks.unionByName(extra)))
 
 
+def op6_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.identify(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+
+
+def op7_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_model.train(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
+    return quality_model.score(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
