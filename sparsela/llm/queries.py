@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, language_id, packing, quality_model, token_counts, toxicity
+from . import chat, decontamination, language_id, packing, quality_model, quality_rules, token_counts, toxicity
 from .text import crc_mod, documents
 
 
@@ -15,6 +15,14 @@ def op2_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_chats(talks.unionByName(extra)))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("containment", F.round("containment", 9))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 def op6_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = language_id.train(docs.where("not held_out"))
@@ -41,7 +49,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_decontamination, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
@@ -57,4 +65,32 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (7 + sum(17 + length(role) + length(et)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op3_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS s
+       FROM (SELECT item_id, w, least(5, len(w)) AS n FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS s
+       FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n),
+q AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (n, s) GROUP BY 1, 2)
+SELECT doc_id, item_id, q.n AS n_item_shingles, shared AS n_shared, round(shared / q.n, 9) AS containment
+FROM m JOIN q USING (item_id) WHERE shared >= greatest(1, ceil(q.n * 0.8 - 1e-9))""",
+    "op5_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(8)) AS o) WHERE c > 1 GROUP BY 1),
+ln AS (SELECT doc_id, source, text, line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
+nl AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+       len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM ln),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+often AS (SELECT source, h FROM (SELECT source, h, count(DISTINCT text) AS c FROM nl GROUP BY 1, 2) JOIN hosts USING (source) WHERE c > 10 AND c > 0.01 * docs),
+gone AS (SELECT doc_id, sum(n) AS n FROM nl JOIN often USING (source, h) GROUP BY 1),
+base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM f""",
 }
