@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, packing, quality_model, quality_rules, token_counts, toxicity
+from . import chat, decontamination, jaccard_join, language_id, lm_scoring, packing, quality_model, quality_rules, token_counts, toxicity
 from .text import crc_mod, documents
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 5))
+
+
 def op2_chat_formatting(spark, sf_dir):
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -19,6 +23,10 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("containment", F.round("containment", 9))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -49,7 +57,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_decontamination, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
@@ -93,4 +101,29 @@ base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x0
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM f""",
+    "op1_lm_scoring": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM d),
+g AS (SELECT doc_id, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT *,
+  count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+  count(*) OVER (PARTITION BY w1, w) - count(*) OVER (PARTITION BY doc_id, w1, w) AS c2,
+  count(*) OVER (PARTITION BY w2, w1, w) - count(*) OVER (PARTITION BY doc_id, w2, w1, w) AS c3,
+  count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n FROM g),
+b AS (SELECT *, lag(c1) OVER o AS p1, lag(c2) OVER o AS p2 FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, CASE
+  WHEN i >= 2 AND c3 > 0 THEN ln(c3 / p2)
+  WHEN i >= 1 AND c2 > 0 THEN ln(c2 / p1) + (least(i, 2) - 1) * ln(0.4::DOUBLE)
+  ELSE ln((CASE WHEN c1 > 0 THEN c1 ELSE 0.4::DOUBLE END) / greatest(n, 1)) + least(i, 2) * ln(0.4::DOUBLE) END AS x FROM b)
+SELECT doc_id, len(l) AS n_words, round(coalesce(t, 0), 5) AS log_score
+FROM d LEFT JOIN (SELECT doc_id, sum(x) AS t FROM s GROUP BY 1) USING (doc_id)""",
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.y), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
 }

@@ -28,7 +28,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size estimate of the optimizer (file sizes for a scan); no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def crc_mod(doc_id, m: int):
@@ -146,7 +146,8 @@ def shingle_sets(h: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(size)), np.diff(go))
     short = np.flatnonzero((size > 0) & (size < n))
     if len(short):
-        extra = np.array([split64(np.array([np.add.reduce(h[off[i] : off[i + 1]] * _ODD[: size[i]]) + U64(size[i]) * _ODD[255]], U64))[0] for i in short], U64)
+        with np.errstate(over="ignore"):
+            extra = np.array([split64(np.array([np.add.reduce(h[off[i] : off[i + 1]] * _ODD[: size[i]]) + U64(size[i]) * _ODD[255]], U64))[0] for i in short], U64)
         g, owner = np.concatenate((g, extra)), np.concatenate((owner, short))
         order = np.argsort(owner, kind="stable")
         g, owner = g[order], owner[order]
