@@ -195,3 +195,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose language is not ``und`` and whose score is
+    ``least`` or more. Null texts and texts without a letter go; narrow, no join."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in sliced(batches, text_col):
+            keep = []
+            for _, data, offs in by_rows(b.column(at)):
+                lang, score = model.predict(gram_counts(data, offs))
+                keep.append(has_letter(data, offs) & (lang >= 0) & (score >= least))
+            yield b.filter(pa.array(np.concatenate(keep)))
+
+    return df.mapInArrow(run, df.schema)

@@ -168,3 +168,15 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, that score ``least`` or more; narrow, no join."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in sliced(batches, text_col):
+            s = model.forward(*passages(b.column(at)))[0]
+            yield b.filter(pa.array(s >= least))
+
+    return df.mapInArrow(run, df.schema)
