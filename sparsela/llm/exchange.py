@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,26 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 4 << 20
 
 
-def layout(size: int) -> tuple[int, int]:
-    """Number of blocks, and of leading key bits that number the parts."""
-    return max(1, -(-size // BLOCK_BYTES)), max(0, (max(1, -(-size // PART_BYTES)) - 1).bit_length())
+@dataclass(frozen=True)
+class Layout:
+    """For an input of ``size`` bytes: number of blocks, leading key bits that number the parts, and
+    bits of a key. Keys grow with the input, so that the chance that a key shares its bits with
+    another stays under one in a million, whatever the size, and small inputs move fewer bytes."""
+
+    blocks: int
+    part_bits: int
+    key_bits: int
+
+    @classmethod
+    def of(cls, size: int) -> Layout:
+        return cls(max(1, -(-size // BLOCK_BYTES)), (max(1, -(-size // PART_BYTES)) - 1).bit_length(), min(64, max(48, 20 + size.bit_length())))
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Keys of 64-bit hashes."""
+        return h >> np.uint64(64 - self.key_bits) if self.key_bits < 64 else h
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -71,14 +86,14 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(answers, pa.binary())})
 
 
-def with_totals(blocked: DataFrame, bits: int, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def with_totals(blocked: DataFrame, layout: Layout, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """``finish(block, totals)`` for each block of ``blocked`` (column ``block``).
 
     keys_of gives a block's sorted distinct keys and their counts; totals are in that order."""
 
     def send(table: pa.Table) -> pa.Table:
         keys, counts = keys_of(table)
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        part = (keys >> np.uint64(layout.key_bits - layout.part_bits)).astype(np.int64)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         stop = np.append(first[1:], len(keys))
         block = table["block"][0].as_py()

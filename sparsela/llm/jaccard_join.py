@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import components, layout, with_totals, written
+from .exchange import Layout, components, with_totals, written
 from .text import Words, input_bytes, pybytes, ragged, shingle_sets, sliced, split64, xxhash
 
 SHINGLE, PERCENT = 4, 85
@@ -156,20 +156,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not read. Shingles are compared by 64-bit hashes.
     """
     spark, size = df.sparkSession, input_bytes(df)
-    n_blocks, bits = layout(size)
+    layout = Layout.of(size)
     kind = df.select(id_col).schema[0].dataType
     every = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     src = every.where("id is not null")
-    blocked = src.mapInArrow(lambda it: _distinct_texts(it, n_blocks), "block int, ids binary, text string")
+    blocked = src.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block int, ids binary, text string")
 
     def keys_of(table):
         _, values, _ = _sets_of(table, n)
-        return np.unique(values, return_counts=True)
+        return np.unique(layout.keys(values), return_counts=True)
 
     def finish(table, totals):
         ids, values, off = _sets_of(table, n)
-        u = np.unique(values)
-        df_of = totals[np.searchsorted(u, values)] if len(values) else values
+        u, at = np.unique(layout.keys(values), return_inverse=True)
+        df_of = totals[at] if len(values) else values
         first, sets = [], []
         for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
             m = prefix_length(b - a, percent) if b > a else 0
@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sets.append(values[a:b].tobytes() if len(shared) else None)
         return pa.table({"rep": pa.array([int(i[0]) for i in ids], pa.int64()), "ids": pa.array([i.tolist() for i in ids], pa.list_(pa.int64())), "n": pa.array(np.diff(off)), "prefix": pa.array(first, pa.list_(pa.int64())), "values": pa.array(sets, pa.binary())})
 
-    sets = written(with_totals(blocked, bits, keys_of, finish, "rep long, ids array<long>, n long, prefix array<long>, values binary"))
+    sets = written(with_totals(blocked, layout, keys_of, finish, "rep long, ids array<long>, n long, prefix array<long>, values binary"))
     entries = sets.where("values is not null").select("rep", F.explode("prefix").alias("tok"))
     stars = entries.groupBy("tok").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").drop("z")
     cells = components(entries.join(stars, "tok").select(F.col("rep").alias("a"), "b"))

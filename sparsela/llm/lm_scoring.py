@@ -12,20 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import layout, with_totals
+from .exchange import Layout, with_totals
 from .text import Words, grams, input_bytes
 
 ORDER, BACKOFF = 3, 0.4
 _ALL = np.zeros(1, np.uint64)  # key of the number of words
 
 
-def _keys(table: pa.Table, order: int):
+def _keys(table: pa.Table, order: int, layout: Layout):
     w = Words(table["text"].combine_chunks())
     h = w.hashes()
-    every = [grams(h, w.off, n) for n in range(1, order + 1)]
-    for g, _ in every:
-        g[g == 0] = 1
-    return w, every
+    return w, [np.maximum(layout.keys(grams(h, w.off, n)[0]), np.uint64(1)) for n in range(1, order + 1)]
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -39,29 +41,33 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     empty table gives no rows. Other columns are not read.
     """
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    n_blocks, bits = layout(input_bytes(df))
+    layout = Layout.of(input_bytes(df))
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    blocked = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
+    blocked = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).cast("int"))
 
     def keys_of(table):
-        w, every = _keys(table, order)
-        u, c = np.unique(np.concatenate([g for g, _ in every]), return_counts=True)
-        return np.concatenate((_ALL, u)), np.concatenate(([len(w.codes)], c))
+        w, every = _keys(table, order, layout)
+        k = np.sort(np.concatenate(every))
+        first = _runs(k)
+        return np.concatenate((_ALL, k[first])), np.concatenate(([len(w.codes)], np.diff(first, append=len(k))))
 
     def finish(table, totals):
-        w, every = _keys(table, order)
-        u = np.unique(np.concatenate([g for g, _ in every]))
+        w, every = _keys(table, order, layout)
         size = np.diff(w.off)
         doc = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(doc)) - w.off[doc]
-        known = totals[1:]
+        u = np.sort(np.concatenate(every))
+        u, known = u[_runs(u)], totals[1:]
         left = []  # for each n, counts by others of the n-gram that ends at each word
-        for n, (g, goff) in enumerate(every, 1):
-            at = np.searchsorted(u, g)
-            own = (np.repeat(np.arange(len(size)), np.diff(goff)).astype(np.int64) << 32) | at
-            k, inv, c = np.unique(own, return_inverse=True, return_counts=True)
+        for n, g in enumerate(every, 1):
+            ends = np.flatnonzero(place >= n - 1)
+            by = np.argsort(g, kind="stable")  # equal grams stay in the order of their documents
+            g, d = g[by], doc[ends][by]
+            first = _runs(g)
+            total = np.repeat(known[np.searchsorted(u, g[first])], np.diff(first, append=len(g)))
+            own = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else first
             x = np.zeros(len(doc), np.int64)
-            x[place >= n - 1] = known[at] - c[inv]
+            x[ends[by]] = total - np.repeat(times := np.diff(own, append=len(g)), times)
             left.append(x)
         words = np.maximum(totals[0] - size[doc], 1)
         s = np.log(np.where(left[0] > 0, left[0], backoff) / words) if len(doc) else np.empty(0)
@@ -73,4 +79,4 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         total = np.bincount(doc, s, len(size)) if len(doc) else np.zeros(len(size))
         return pa.table({"id": table["id"], "n_words": pa.array(size), "log_score": pa.array(total)})
 
-    return with_totals(blocked, bits, keys_of, finish, f"id {kind}, n_words long, log_score double").withColumnRenamed("id", id_col)
+    return with_totals(blocked, layout, keys_of, finish, f"id {kind}, n_words long, log_score double").withColumnRenamed("id", id_col)
