@@ -155,7 +155,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives n_shingles null and no component. An empty table gives no rows. Other columns are
     not read. Shingles are compared by 64-bit hashes.
     """
-    spark, size = df.sparkSession, input_bytes(df)
+    spark, size = df.sparkSession, input_bytes(df, text_col)
     layout = Layout.of(size)
     kind = df.select(id_col).schema[0].dataType
     every = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))

@@ -159,7 +159,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_c
 
 
 def fit(x: np.ndarray, lang: np.ndarray) -> Model:
-    order = np.lexsort((x[:, ::97].sum(1), lang.astype(str))) if len(lang) else []
+    order = np.lexsort((x[:, ::97].sum(1), lang.astype(str))) if len(lang) else np.empty(0, np.int64)
     x, lang = x[order], lang[order]  # the order in which rows arrive must not matter
     langs = sorted(set(lang))
     fam = np.array([FAMILY_OF.get(g, g) for g in lang], dtype=object)
@@ -173,7 +173,7 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Model:
         if FAMILY_OF.get(a, a) == FAMILY_OF.get(b, b):
             rows = np.flatnonzero((lang == a) | (lang == b))
             pairs[a, b] = fitted(rows, np.where(lang[rows] == a, 1.0, -1.0))
-    return Model(langs, families, np.array(fw).reshape(len(families), -1), pairs)
+    return Model(langs, families, np.array(fw) if fw else np.zeros((0, x.shape[1] + 1)), pairs)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

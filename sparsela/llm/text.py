@@ -26,9 +26,11 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimizer (file sizes for a scan); no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Size of a table: the optimizer's estimate (file sizes for a scan, no job), or one aggregate
+    over the texts where it has none, as for tables made from local rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 53 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def crc_mod(doc_id, m: int):
