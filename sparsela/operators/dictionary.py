@@ -31,12 +31,16 @@ def summed(df: DataFrame, columns: list[str], part) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array([r.tolist() for r in v], pa.list_(pa.float64()))], ["name", "i", "v"])
 
     parts = df.select(*(A.doubles(c) for c in columns)).mapInArrow(run, "name string, i int, v array<double>")
+    # one row per element of the sums, whatever the number of signals
     each = parts.select("name", "i", F.posexplode("v").alias("j", "v")).groupBy("name", "i", "j").agg(F.sum("v").alias("v"))
-    rows = each.groupBy("name", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("v")).collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["name"], r["i"])):
-        out.setdefault(r["name"], []).append(r["v"])
-    return {k: np.array(v) for k, v in out.items()}
+    t = each.toArrow()
+    names, (i, j, v) = np.array(t["name"].to_pylist(), object), (t[c].to_numpy() for c in ("i", "j", "v"))
+    out = {}
+    for k in set(names):
+        at = names == k
+        out[k] = np.zeros((i[at].max() + 1, j[at].max() + 1))
+        out[k][i[at], j[at]] = v[at]
+    return out
 
 
 @dataclass
@@ -49,19 +53,21 @@ class Stats:
     energy: float
     usage: np.ndarray
     active: np.ndarray
-    peak: np.ndarray = field(default_factory=lambda: np.empty(0))
+    penalty: float = 0.0
 
     def loss(self, d: np.ndarray) -> float:
         """Sum of squared residuals for a dictionary and these codes."""
         return float(self.energy - 2 * (self.cross * d).sum() + ((self.gram @ d) * d).sum())
 
 
-def statistics(df: DataFrame, x: str = "x", a: str = "a", threshold: float = 1e-6) -> Stats:
+def statistics(df: DataFrame, x: str = "x", a: str = "a", threshold: float = 1e-6, penalty=None) -> Stats:
+    """All sums in one job; ``penalty`` adds the sum of its values."""
+
     def part(xs, cs):
-        return {"gram": cs.T @ cs, "cross": cs.T @ xs, "n": [len(xs)], "energy": [(xs * xs).sum()], "usage": (cs * cs).sum(0), "active": (np.abs(cs) > threshold).sum(0)}
+        return {"penalty": [penalty.np_value(cs).sum() if penalty else 0.0], "gram": cs.T @ cs, "cross": cs.T @ xs, "n": [len(xs)], "energy": [(xs * xs).sum()], "usage": (cs * cs).sum(0), "active": (np.abs(cs) > threshold).sum(0)}
 
     s = summed(df, [x, a], part)
-    return Stats(s["gram"], s["cross"], float(s["n"][0, 0]), float(s["energy"][0, 0]), s["usage"][0], s["active"][0])
+    return Stats(s["gram"], s["cross"], float(s["n"][0, 0]), float(s["energy"][0, 0]), s["usage"][0], s["active"][0], float(s["penalty"][0, 0]))
 
 
 def mod(stats: Stats, ridge: float = 1e-6, max_condition: float = 1e12) -> np.ndarray:

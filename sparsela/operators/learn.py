@@ -83,9 +83,10 @@ class DictionaryLearner:
         grad, online = D.GradientUpdate(rate=self.rate), D.OnlineUpdate()
         for step in range(self.n_steps):
             began = time.time()
-            codes = encode(df, d, self._penalty(lam), self.solver, id_col, x, keep=(x,) if x != id_col else (), **self.solver_params)
-            s = D.statistics(codes, x)
-            obj = codes.agg(F.sum("objective")).first()[0] if self.stop in ("objective", "both") else None
+            pen = self._penalty(lam)
+            codes = encode(df, d, pen, self.solver, id_col, x, keep=(x,), **self.solver_params)
+            s = D.statistics(codes, x, penalty=pen)
+            obj = 0.5 * s.loss(d) + s.penalty
             if self.update == "ksvd":
                 new, _ = D.ksvd(codes, d, x)
             elif self.update == "gradient":
