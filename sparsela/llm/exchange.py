@@ -66,12 +66,16 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if not len(c) or c.max() <= np.iinfo(k).max)
-    return kind[1].encode() + c.astype("<" + kind).tobytes()
+    """Counts as bytes; those of 255 and more are listed apart."""
+    big = c[c >= 255].astype("<i8")
+    return b"".join((np.array([len(big)], "<u4").tobytes(), big.tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes()))
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[:1].decode()}", offset=1).astype(np.int64)
+    n = int(np.frombuffer(b, "<u4", 1)[0])
+    c = np.frombuffer(b, np.uint8, offset=4 + 8 * n).astype(np.int64)
+    c[c == 255] = np.frombuffer(b, "<i8", n, 4)
+    return c
 
 
 def _sum_part(table: pa.Table) -> pa.Table:

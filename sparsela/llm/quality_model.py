@@ -15,6 +15,7 @@ from .text import Words, grams, raw, sliced
 from .toxicity import sample_of
 
 PASSAGE_WORDS = 96
+SLICE = 2 << 20  # bytes of text at once: the byte masks and histograms are several times as large
 HIST = 64
 SHAPE = 12
 DIM = HIST + SHAPE
@@ -141,7 +142,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of their id."""
 
     def run(batches):
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             x, off = passages(b.column(1))
             rows = [x[i:j].tobytes() for i, j in zip(off, off[1:])]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(rows, pa.binary())], ["label", "x"])
@@ -161,7 +162,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     kind = df.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             x, off = passages(b.column(1))
             s = model.forward(x, off)[0]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.diff(off))], ["id", "score", "predicted", "n_passages"])
@@ -175,7 +176,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float
     at = df.columns.index(text_col)
 
     def run(batches):
-        for b in sliced(batches, text_col):
+        for b in sliced(batches, text_col, SLICE):
             s = model.forward(*passages(b.column(at)))[0]
             yield b.filter(pa.array(s >= least))
 

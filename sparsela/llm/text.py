@@ -19,7 +19,7 @@ U64 = np.uint64
 WS = b" \t\n\x0b\x0c\r"
 _IS_WS = np.zeros(256, bool)
 _IS_WS[list(WS)] = True
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def sample_of(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, max
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")  # max_rows rows at most
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of their id,
     and from features in ``min_docs`` of them at least. Gives the features with a weight, their weights, the bias."""
 
