@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..functions.penalties import L1, Penalty
@@ -14,7 +15,7 @@ from . import solvers
 #: A dictionary is sent to every worker; larger ones must be cut by the caller.
 MAX_DICTIONARY_BYTES = 256 << 20
 BATCH_ROWS = 2048
-RESULT = "a array<double>, iterations long, converged boolean, objective double, reason string"
+RESULT = T.StructType().add("a", T.ArrayType(T.DoubleType())).add("iterations", T.LongType()).add("converged", T.BooleanType()).add("objective", T.DoubleType()).add("reason", T.StringType())
 
 
 def check_signals(df: DataFrame, x: str = "x") -> int:
@@ -79,8 +80,7 @@ def encode(df: DataFrame, atoms, penalty: Penalty | None = None, solver: str = "
                 yield pa.RecordBatch.from_arrays([*p.columns[1:], list_column(r.a), pa.array(r.iterations), pa.array(r.converged), pa.array(r.objective), pa.array(r.reason, pa.string())], [*names, "a", "iterations", "converged", "objective", "reason"])
 
     src = df.select(A.doubles(x).alias("_x"), *names)
-    head = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[1:])
-    return src.mapInArrow(run, f"{head}, {RESULT}")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[1:], *RESULT]))
 
 
 def somp(df: DataFrame, atoms, n_atoms: int, id_col: str = "sample_id", x: str = "x", criterion: str = "max") -> DataFrame:
@@ -146,11 +146,13 @@ def to_long(codes: DataFrame, a: str = "a", threshold: float = 0.0) -> DataFrame
     return codes.select("sample_id", F.posexplode(a).alias("atom_id", "coef")).where(F.abs("coef") > threshold)
 
 
-def heuristic_lambda(df: DataFrame, mode: str = "l1", x: str = "x", atoms=None) -> float:
+def heuristic_lambda(df: DataFrame, mode: str = "l1", x: str = "x", atoms=None, exact: bool = False) -> float:
     """Default penalty weight: a share of the standard deviation of all entries (l1 0.1, log 0.05,
-    paper and olshausen 0.14), or ``median``: 0.1 times the median absolute correlation."""
+    paper and olshausen 0.14), or ``median``: 0.1 times the median absolute correlation, by a sketch of
+    bounded size (relative rank error 1e-5) unless ``exact``, which keeps every distinct value."""
     if mode == "median":
         c = df.select(F.explode(F.transform(correlations(A.doubles(x), atoms_of(atoms)), F.abs)).alias("c"))
-        return 0.1 * c.agg(F.percentile("c", F.lit(0.5))).first()[0]
+        median = F.percentile("c", F.lit(0.5)) if exact else F.percentile_approx("c", 0.5, 100_000)
+        return 0.1 * c.agg(median).first()[0]
     share = {"l1": 0.1, "transcoder": 0.1, "log": 0.05, "paper": 0.14, "olshausen": 0.14}[mode]
     return share * df.select(F.explode(A.doubles(x)).alias("v")).agg(F.stddev_pop("v")).first()[0]

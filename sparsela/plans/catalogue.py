@@ -487,7 +487,7 @@ def lambda_auto_std(s, d):
 
 @query("lambda_auto_median", f"{PRE}, v AS (SELECT abs(unnest(c)) AS v FROM c) SELECT {s6('0.1 * quantile_cont(v, 0.5)')} AS lam FROM v")
 def lambda_auto_median(s, d):
-    return s.createDataFrame([(round(E.heuristic_lambda(sig(s, d), "median", atoms=atoms(s, d)), 6),)], "lam double")
+    return s.createDataFrame([(round(E.heuristic_lambda(sig(s, d), "median", atoms=atoms(s, d), exact=True), 6),)], "lam double")
 
 
 @query("interpretability_summary", f"{PRE}, f AS (SELECT atom_id, avg((abs(coef) > 1e-6)::INT) AS f FROM lng GROUP BY 1) SELECT {s6('avg((f < 0.01)::INT)')} AS dead_ratio, {s6('stddev_pop(f)')} AS frequency_std, {s6('sum(f)')} AS mean_active, {s6('1 - avg(f)')} AS sparsity FROM f")
@@ -722,6 +722,57 @@ def sae_train(s, d):
     return s.createDataFrame([(bool(m.history[-1]["loss"] < m.history[0]["loss"]),)], "descends boolean")
 
 
+@query("sae_round_trip", digest_sql("list_transform(c, lambda v: greatest(v, 0.0))", "c"))
+def sae_round_trip(s, d):
+    """A dictionary turned into an autoencoder and back encodes as relu(D x)."""
+    m = SparseAutoencoder.from_atoms(SparseAutoencoder.from_atoms(atoms(s, d)).to_atoms())
+    return digest(m.encode(sig(s, d)), F.col("a"))
+
+
+@query("nonlinear_decoder_train", "SELECT true AS descends")
+def nonlinear_decoder_train(s, d):
+    from ..operators.models import NonlinearDecoder
+
+    m = NonlinearDecoder(atoms(s, d), epochs=5).fit(codes(s, d))
+    return s.createDataFrame([(bool(m.history[-1] < m.history[0]),)], "descends boolean")
+
+
+@query("estimator_transform", "SELECT count(*) AS n, 8::BIGINT AS k FROM embeddings")
+def estimator_transform(s, d):
+    from ..operators.models import SparseCoderEstimator
+
+    df = sig(s, d)
+    m = SparseCoderEstimator(n_atoms=8, n_steps=2, lam=0.05).fit(df)
+    return m.transform(df).agg(F.count("*").alias("n"), F.max(F.size("a")).cast("long").alias("k"))
+
+
+@query("online_learn_batches", "SELECT count(*) AS samples, 3::BIGINT AS batches FROM embeddings")
+def online_learn_batches(s, d):
+    from ..operators.learn import OnlineDictionaryLearner
+
+    df, m = sig(s, d), OnlineDictionaryLearner(8)
+    for k in range(3):
+        m.partial_fit(df.where(F.col("sample_id") % 3 == k))
+    st = m.get_stats()
+    return s.createDataFrame([(st["samples"], st["batches"])], "samples long, batches long")
+
+
+@query("atom_energy_spectrum", f"{PRE}, e AS (SELECT atom_id, sum(coef * coef) AS e FROM lng GROUP BY 1) SELECT atom_id, {s6('sum(e) OVER (ORDER BY e DESC, atom_id) / sum(e) OVER ()')} AS cumulative FROM e")
+def atom_energy_spectrum(s, d):
+    """Cumulative share of energy, atoms in falling order."""
+    e = analytics.long_view(codes(s, d)).groupBy(F.col("atom_id").cast("long").alias("atom_id")).agg(F.sum(F.col("coef") ** 2).alias("e"))
+    up = F.sum("e").over(Window.orderBy(F.desc("e"), "atom_id"))  # a row for each atom
+    return e.select("atom_id", r6(up / F.sum("e").over(Window.partitionBy())).alias("cumulative"))
+
+
+@query("memory_estimate", "SELECT round(64 * count(*) * 4 / 1e6, 6) AS input_mb, ceil(count(*) / 100)::BIGINT AS total_batches FROM embeddings")
+def memory_estimate(s, d):
+    from ..sources.tables import estimate_memory
+
+    m = estimate_memory(sig(s, d).count(), 64, K, 100)
+    return s.createDataFrame([(round(m["input_mb"], 6), m["total_batches"])], "input_mb double, total_batches long")
+
+
 # ---- ordered metrics ----------------------------------------------------------------------
 
 
