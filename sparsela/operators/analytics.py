@@ -5,16 +5,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .dictionary import summed
 
 ACTIVE = 1e-8
 
 
 def long_view(codes: DataFrame, a: str = "a", keep: tuple[str, ...] = ()) -> DataFrame:
-    return codes.select("sample_id", *keep, F.posexplode(a).alias("atom_id", "coef"))
+    # the outer form: the inner one makes Spark compute the codes a second time, in a filter on their size
+    return codes.select("sample_id", *keep, F.posexplode_outer(a).alias("atom_id", "coef")).where("atom_id is not null")
 
 
 def per_sample_activity(codes: DataFrame, threshold: float = ACTIVE) -> DataFrame:
@@ -51,39 +55,35 @@ def top_samples(codes: DataFrame, k: int = 5, keep: tuple[str, ...] = ()) -> Dat
 
 
 def coactivation(codes: DataFrame, min_lift: float = 0.0, threshold: float = ACTIVE) -> DataFrame:
-    """Lift P(i, j) / (P(i) P(j)) of atom pairs i < j above ``min_lift``.
+    """Lift P(i, j) / (P(i) P(j)) of atom pairs i < j that occur together, above ``min_lift``.
 
-    Pairs are made inside a sample's row, from its active atoms only, and added up before the
-    shuffle."""
-    on = F.filter(F.transform("a", lambda v, i: F.when(F.abs(v) > threshold, i)), lambda i: i.isNotNull())
-    act = codes.select(on.alias("on"))
-    n = codes.agg(F.count("*").alias("n"))
-    single = act.select(F.explode("on").alias("i")).groupBy("i").agg(F.count("*").alias("c"))
-    pairs = act.select(F.explode("on").alias("i"), "on").select("i", F.explode("on").alias("j")).where("i < j").groupBy("i", "j").agg(F.count("*").alias("both"))
-    out = pairs.join(single.withColumnRenamed("c", "ci"), "i").join(single.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").crossJoin(F.broadcast(n))
-    lift = F.col("both") * F.col("n") / (F.col("ci") * F.col("cj"))
-    return out.select("i", "j", "both", lift.alias("lift")).where(F.col("lift") > min_lift)
-
-
-def moments(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sums a_i and sums a_i a_j (i <= j) over samples."""
-    single = long_view(codes).groupBy("atom_id").agg(F.count("*").alias("n"), F.sum("coef").alias("s"), F.sum(F.col("coef") * F.col("coef")).alias("q"))
-    pair = codes.select("a", F.posexplode("a").alias("i", "u")).select("i", "u", F.posexplode("a").alias("j", "v")).where("i < j")
-    return single, pair.groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("p"))
+    One pass: the Gram matrix of the indicators of active atoms, K x K numbers."""
+    s = summed(codes, ["a"], lambda a: {"g": (on := (np.abs(a) > threshold).astype(float)).T @ on, "n": [len(a)]})
+    if not s:
+        return codes.sparkSession.createDataFrame([], "i int, j int, both long, lift double")
+    g = s["g"]
+    c = np.diag(g)
+    i, j = np.nonzero(np.triu(g, 1))
+    lift = g[i, j] * s["n"][0, 0] / (c[i] * c[j])
+    keep = lift > min_lift
+    t = {"i": i[keep].astype(np.int32), "j": j[keep].astype(np.int32), "both": g[i, j][keep].astype(np.int64), "lift": lift[keep]}
+    return codes.sparkSession.createDataFrame(pa.table(t))
 
 
 def correlations(codes: DataFrame, dead_variance: float = 1e-10) -> DataFrame:
     """Pearson correlation of atom pairs i < j; 0 where an atom's variance is under ``dead_variance``;
-    within [-1, 1]. One pass of sums, no self-join of samples."""
-    single, pair = moments(codes)
-    a = single.select(F.col("atom_id").alias("i"), F.col("n"), F.col("s").alias("si"), F.col("q").alias("qi"))
-    b = single.select(F.col("atom_id").alias("j"), F.col("s").alias("sj"), F.col("q").alias("qj"))
-    x = pair.join(a, "i").join(b, "j")
-    n = F.col("n")
-    vi, vj = (F.col("qi") - F.col("si") ** 2 / n) / (n - 1), (F.col("qj") - F.col("sj") ** 2 / n) / (n - 1)
-    cov = (F.col("p") - F.col("si") * F.col("sj") / n) / (n - 1)
-    r = F.when((vi < dead_variance) | (vj < dead_variance), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vi * vj))))
-    return x.select("i", "j", r.alias("corr"))
+    within [-1, 1]. One pass: sums and the Gram matrix of the codes, K x K numbers."""
+    s = summed(codes, ["a"], lambda a: {"g": a.T @ a, "s": a.sum(0), "n": [len(a)]})
+    if not s:
+        return codes.sparkSession.createDataFrame([], "i int, j int, corr double")
+    n, m = s["n"][0, 0], s["s"][0]
+    cov = (s["g"] - np.outer(m, m) / n) / max(n - 1, 1)
+    var = np.diag(cov)
+    alive = var >= dead_variance
+    d = np.sqrt(np.where(alive, var, 1))
+    r = np.where(np.outer(alive, alive), np.clip(cov / np.outer(d, d), -1, 1), 0.0)
+    i, j = np.triu_indices(len(r), 1)
+    return codes.sparkSession.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32), "corr": r[i, j]}))
 
 
 def correlated_pairs(codes: DataFrame, threshold: float = 0.5) -> DataFrame:
