@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Words, grams, sliced
+from .text import Words, grams, sliced, small_batches
 
 SHINGLE, THRESHOLD, BLOCK_SHINGLES = 5, 0.8, 200_000
 
@@ -106,7 +106,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     rows give repeated pairs. Empty tables give no rows. Other columns are not read.
     """
     kinds = docs.select(id_col).schema[0].dataType.simpleString(), bench.select(item_col).schema[0].dataType
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    src = small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {kinds[0]}, item {kinds[1].simpleString()}, n_item_shingles long, n_shared long, containment double"
     out = None
     for index in blocks(bench, item_col, item_text, n, threshold, block_shingles):
@@ -136,5 +136,5 @@ def drop_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
                 keep[[d for d, _, _ in index.matches(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

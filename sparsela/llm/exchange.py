@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .text import give_back
 
-BLOCK_BYTES, PART_BYTES = 6 << 20, 4 << 20
+BLOCK_BYTES, PART_BYTES = 3 << 20, 3 << 20
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,8 @@ def _sum_part(table: pa.Table) -> pa.Table:
     total = np.bincount(where, np.concatenate(counts), len(u)).astype(np.int64)[where]
     ends = np.cumsum([len(k) for k in keys])
     answers = [pack_counts(x) for x in np.split(total, ends[:-1])]
+    del keys, counts, every, where, total
+    give_back()
     return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(answers, pa.binary())})
 
 
@@ -97,6 +100,7 @@ def with_totals(blocked: DataFrame, layout: Layout, keys_of: Callable[[pa.Table]
 
     def send(table: pa.Table) -> pa.Table:
         keys, counts = keys_of(table)
+        give_back()
         part = (keys >> np.uint64(layout.key_bits - layout.part_bits)).astype(np.int64)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         stop = np.append(first[1:], len(keys))
@@ -106,7 +110,9 @@ def with_totals(blocked: DataFrame, layout: Layout, keys_of: Callable[[pa.Table]
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
         totals = [unpack_counts(b) for b in answers["totals"].to_pylist()]
-        return finish(table, np.concatenate(totals) if totals else np.empty(0, np.int64))
+        out = finish(table, np.concatenate(totals) if totals else np.empty(0, np.int64))
+        give_back()
+        return out
 
     sent = blocked.groupBy("block").applyInArrow(send, "block int, part int, keys binary, counts binary")
     answers = sent.groupBy("part").applyInArrow(_sum_part, "block int, part int, totals binary")

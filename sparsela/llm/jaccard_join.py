@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Layout, components, with_totals, written
-from .text import Words, input_bytes, pybytes, ragged, shingle_sets, sliced, split64, xxhash
+from .text import Words, input_bytes, pybytes, ragged, shingle_sets, sliced, small_batches, split64, xxhash
 
 SHINGLE, PERCENT = 4, 85
 CELL_BYTES = 8 << 20
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 MU = 0.01  # cost of a probe against a merge step, as in the choice of the long lists
 
 
@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, size = df.sparkSession, input_bytes(df, text_col)
     layout = Layout.of(size)
     kind = df.select(id_col).schema[0].dataType
-    every = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    every = small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     src = every.where("id is not null")
     blocked = src.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block int, ids binary, text string")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import raw, sliced
+from .text import raw, sliced, small_batches
 
 # fixed values: families of languages by ISO 639-1 code; a language not listed is its own family
 FAMILIES = {
@@ -141,7 +141,7 @@ class Model:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_language: int = 500, max_rows: int = 8000) -> Model:
     """Learn from at most ``per_language`` rows of each language and ``max_rows`` in all, those
     with the smallest hash of their id. Rows with a null language are not used."""
-    src = df.select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[order_col]).alias("h")).where("lang is not null and text is not null")
+    src = small_batches(df).select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[order_col]).alias("h")).where("lang is not null and text is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked = src.select("lang", "h", F.xxhash64("text").alias("text")).withColumn("r", rank).where(F.col("r") <= per_language).orderBy("r", "lang").limit(max_rows).select("lang", "h").distinct()
     sample = src.join(F.broadcast(picked), ["lang", "h"], "left_semi")  # max_rows rows at most
@@ -193,7 +193,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 lang, score = np.where(known, lang, -1), np.where(known, score, 0.0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(lang)), pa.array(names[lang], pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    out = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -210,4 +210,4 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
                 keep.append(has_letter(data, offs) & (lang >= 0) & (score >= least))
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

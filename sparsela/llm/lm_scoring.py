@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Layout, with_totals
-from .text import Words, grams, input_bytes
+from .text import Words, grams, input_bytes, small_batches
 
 ORDER, BACKOFF = 3, 0.4
 _ALL = np.zeros(1, np.uint64)  # key of the number of words
@@ -42,7 +42,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     """
     kind = df.select(id_col).schema[0].dataType.simpleString()
     layout = Layout.of(input_bytes(df, text_col))
-    src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    src = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     blocked = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).cast("int"))
 
     def keys_of(table):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .text import ragged, sliced
+from .text import ragged, sliced, small_batches
 
 CAPACITY = 1024
 CUT_BELOW = 24
@@ -109,6 +109,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
             t = t.set_column(4, "sequence_id", pa.array([serial + w for w in where])).set_column(5, "offset", pa.array(off))
             yield from t.to_batches()
 
-    src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    src = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     out = src.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out.withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Words, grams, raw, sliced
+from .text import Words, grams, raw, sliced, small_batches
 from .toxicity import sample_of
 
 PASSAGE_WORDS = 96
@@ -167,7 +167,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             s = model.forward(x, off)[0]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.diff(off))], ["id", "score", "predicted", "n_passages"])
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long")
+    out = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int, n_passages long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -180,4 +180,4 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float
             s = model.forward(*passages(b.column(at)))[0]
             yield b.filter(pa.array(s >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

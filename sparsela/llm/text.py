@@ -7,6 +7,7 @@ Python only touches distinct words; everything per occurrence is numpy.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,13 @@ def input_bytes(df: DataFrame, text_col: str = "text") -> int:
     return size if size < 1 << 53 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session hands Python batches of 4 MB at most, not 64. Ten thousand long
+    texts at once would fill the buffers of both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{SLICE_BYTES}b")
+    return df
+
+
 def crc_mod(doc_id, m: int):
     """crc32 of the id written as text, modulo ``m``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
@@ -49,6 +57,15 @@ def split64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; idle workers are kept for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece has about ``limit`` bytes of text (one text at least)."""
     for b in batches:
@@ -61,6 +78,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = min(max(end, start + 1), b.num_rows)
             yield b.slice(start, end - start)
             start = end
+    give_back()
 
 
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

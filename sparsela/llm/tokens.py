@@ -17,7 +17,7 @@ import regex
 
 from .text import _IS_WS, binaries, pybytes, raw
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 def default_path() -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, sliced, split64, xxhash
+from .text import Words, sliced, small_batches, split64, xxhash
 
 BITS = 20
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -64,7 +64,7 @@ def sample_of(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, max
     """Texts and labels of the ``max_rows`` labelled rows with the smallest hash of their id."""
     rows = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label")).where("id is not null and label is not null")
     picked = rows.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")  # max_rows rows at most
+    return small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")  # max_rows rows at most
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,5 +111,5 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: st
             s = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[key], b.num_rows) + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int")
+    out = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
