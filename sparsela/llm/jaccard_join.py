@@ -3,8 +3,9 @@
 1. Equal texts become one set. 2. Every shingle gets its document frequency (``exchange``). A set's
 shingles are put in the order of frequency; two sets that link share one of the first
 ``n - ceil(t n) + 1`` of that order, so sets without a shared shingle there link with nothing.
-3. Sets that share such a shingle, directly or through others, form a cell; large cells are cut
-into sub-blocks and every pair of sub-blocks is one task. 4. In a task, each set is a query to
+3. Sets that share such a shingle, directly or through others, form a cell. A cell of up to
+``CELL_BYTES`` is searched in one task; a larger one in rounds (``cell_links``), so that a large group
+of near copies costs no pairs of its blocks. 4. In a task, each set is a query to
 the inverted lists of the others: the longest lists are set aside (DivideSkip), the short ones
 are merged with counts, and sets that occur often enough are looked up in the long ones by
 binary search. Sets that already are in one component aren't compared again. 5. The links
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Layout, components, with_totals, written
-from .text import Words, input_bytes, pybytes, ragged, shingle_sets, sliced, small_batches, split64, xxhash
+from .text import Words, give_back, input_bytes, pybytes, ragged, shingle_sets, sliced, small_batches, split64, xxhash
 
 SHINGLE, PERCENT = 4, 85
 CELL_BYTES = 8 << 20
@@ -36,10 +37,11 @@ def prefix_length(n, percent: int):
     return n + (-n * percent) // 100 + 1
 
 
-def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``sets`` (sorted distinct values).
 
-    With ``sides`` (0 or 1 for each set), only links between the sides are looked for."""
+    With ``sides`` (0 or 1 for each set), only links between the sides are looked for; with
+    ``labels``, only links that connect sets of different labels."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size = size[order]
@@ -50,6 +52,9 @@ def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     by = np.argsort(tok, kind="stable")
     post, list_off = doc[by], np.searchsorted(tok[by], np.arange(len(u) + 1))  # postings in the order of size
     parent = list(range(len(order)))
+    if labels is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(v, i) for i, v in enumerate(labels[order].tolist())]
     side = None if sides is None else sides[order]
 
     def root(i):
@@ -145,6 +150,89 @@ def _sets_of(table: pa.Table, n: int):
     return [np.sort(np.concatenate(v)) for v in ids.values()], values[ragged(off[:-1][first], size)] if first else values[:0], np.concatenate(([0], np.cumsum(size)))
 
 
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links found in tasks. Columns: task, part (searched apart inside a task), side (-1: no sides),
+    label (sets of one label are connected already), rep, values."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        table = table.take(pa.array(np.lexsort((table["rep"].to_numpy(), table["part"].to_numpy())))).combine_chunks()
+        part, side, label, rep = (table[c].to_numpy() for c in ("part", "side", "label", "rep"))
+        values = pybytes(table["values"].combine_chunks())
+        new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for p, q in zip(new.tolist(), [*new[1:].tolist(), len(part)]):
+            sides = None if side[p] < 0 else side[p:q]
+            for x, y in search([np.frombuffer(v, np.uint64) for v in values[p:q]], percent, sides, label[p:q]):
+                a.append(int(rep[p + x]))
+                b.append(int(rep[p + y]))
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.select("task", "part", "side", "label", "rep", "values").groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def _cut(sets: DataFrame, *by: str) -> DataFrame:
+    """Adds ``subs``, the number of blocks that the sets of a group need, and ``sub``, the set's block.
+    Sums by group are made before the shuffle."""
+    load = sets.groupBy(*by).agg(F.ceil(F.sum("n") * 8 / CELL_BYTES).cast("int").alias("subs"))
+    return sets.join(load, list(by)).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
+
+
+def cell_links(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """Links (a, b) that connect all that is linked inside the cells; members: cell, rep, n, values.
+
+    Cells of one block are searched whole. A larger cell: (1) each block by itself; (2) of every
+    component of a block its smallest and largest member, again by blocks, until they fit into one or
+    get no fewer; (3) what is still apart: blocks of one component are compared with blocks of others
+    only, so nothing is left to compare where a group of near copies has become one component.
+    """
+    cut = _cut(members, "cell")
+    alone = F.lit(-1)
+    small = cut.where("subs = 1").withColumns({"task": F.pmod(F.xxhash64("cell"), F.lit(n_tasks)), "part": F.col("cell"), "side": alone, "label": F.col("rep")})
+    found = _links(small, percent)
+    large = cut.where("subs > 1").select("cell", "rep", "n", "values", "subs", "sub")
+    if large.isEmpty():
+        return found
+    large = written(large)
+    now, label, edges, blocks = large, F.col("rep"), None, None
+    while True:
+        keyed = now.withColumns({"task": F.xxhash64("cell", "sub"), "part": F.lit(0), "side": alone, "label": label})
+        got = written(_links(keyed, percent))
+        edges = got if edges is None else edges.unionAll(got)
+        last = now.groupBy("cell").agg(F.max("subs").alias("subs"))
+        total = last.agg(F.sum("subs")).first()[0]
+        if blocks is not None and (total >= blocks or last.where("subs > 1").isEmpty()):
+            break
+        blocks = total
+        known = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("known"))
+        ends = now.select("cell", "sub", "rep").join(known, "rep", "left").groupBy("cell", "sub", F.coalesce("known", "rep").alias("known")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+        ends = ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"), "known")
+        now, label = written(_cut(large.select("cell", "rep", "n", "values").join(ends, "rep"), "cell")), F.col("known")
+    known = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("known"))
+    rest = large.select("cell", "rep", "n", "values").join(known, "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
+    apart = rest.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
+    rest = rest.join(apart, "cell", "left_semi")
+    if not rest.isEmpty():
+        rest = _cut(rest, "cell", "label")
+        # small components share blocks; a component of more than one block has its own
+        own = F.col("subs") > 1
+        few = F.col("total")
+        light = rest.where(~own).groupBy("cell").agg(F.ceil(F.sum("n") * 8 / CELL_BYTES).cast("int").alias("total"))
+        rest = rest.join(light, "cell", "left")
+        rest = rest.withColumns({"pure": F.when(own, F.col("label")), "block": F.when(own, F.xxhash64("label", "sub")).otherwise(F.pmod(F.xxhash64("label"), few))})
+        rest = written(rest.select("cell", "rep", "n", "values", "label", "pure", "block"))
+        one = rest.select("cell", "pure", "block").distinct()
+        two = one.select(F.col("cell").alias("cell2"), F.col("pure").alias("pure2"), F.col("block").alias("block2"))
+        mixed = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
+        pairs = one.join(two, (F.col("cell") == F.col("cell2")) & ((F.col("block") < F.col("block2")) & mixed | (F.col("block") == F.col("block2")) & F.col("pure").isNull() & F.col("pure2").isNull()))
+        pairs = pairs.select("cell", F.col("block").alias("p"), F.col("block2").alias("q"))
+        ends = pairs.select("cell", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+        side = F.when(F.col("p") == F.col("q"), -1).otherwise((F.col("block") == F.col("q")).cast("int"))
+        tasks = rest.join(ends, ["cell", "block"]).withColumns({"task": F.xxhash64("cell", "p", "q"), "part": F.lit(0), "side": side})
+        edges = edges.unionAll(_links(tasks, percent))
+    return found.unionAll(edges)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -185,30 +273,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cells = components(entries.join(stars, "tok").select(F.col("rep").alias("a"), "b"))
 
     members = sets.where("values is not null").select("rep", "n", "values").join(cells.select(F.col("node").alias("rep"), F.col("label").alias("cell")), "rep")
-    # sub-blocks of a large cell: sums by cell are made before the shuffle
-    load = members.groupBy("cell").agg(F.ceil(F.sum("n") * 8 / CELL_BYTES).cast("int").alias("subs")).where("subs > 1")
-    members = members.join(load, "cell", "left").withColumn("subs", F.coalesce("subs", F.lit(1)))
-    members = members.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    lo, hi = F.least("sub", "other"), F.greatest("sub", "other")
-    small = F.pmod(F.xxhash64("cell"), F.lit(max(8, size // CELL_BYTES)))
-    task = members.withColumns({"task": F.when(F.col("subs") == 1, small).otherwise(F.xxhash64("cell", lo, hi)), "i": lo, "j": hi})
-
-    def links(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        order = np.lexsort((table["rep"].to_numpy(), table["j"].to_numpy(), table["i"].to_numpy(), table["cell"].to_numpy()))
-        table = table.take(pa.array(order)).combine_chunks()
-        cell, i, j, rep, sub = (table[c].to_numpy() for c in ("cell", "i", "j", "rep", "sub"))
-        values = pybytes(table["values"].combine_chunks())
-        new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        for p, q in zip(new.tolist(), [*new[1:].tolist(), len(cell)]):
-            sides = None if i[p] == j[p] else (sub[p:q] == j[p]).astype(int)
-            for x, y in search([np.frombuffer(v, np.uint64) for v in values[p:q]], percent, sides):
-                a.append(int(rep[p + x]))
-                b.append(int(rep[p + y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = task.select("task", "cell", "i", "j", "sub", "rep", "values").groupBy("task").applyInArrow(links, "a long, b long")
+    found = cell_links(members, percent, max(8, size // CELL_BYTES))
     labels = components(found).select(F.col("node").alias("rep"), "label")
     out = sets.select("rep", "n", "ids").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     out = out.select(F.explode("ids").alias("id"), F.col("n").alias("n_shingles"), "label")

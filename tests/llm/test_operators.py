@@ -184,16 +184,37 @@ def brute_components(texts, n=4, percent=85):
     return [(len(s), x) for s, x in zip(sets, label)]
 
 
-@pytest.mark.parametrize("percent", [85, 60])
-def test_near_duplicates(docs, clash, empty, texts, percent, monkeypatch):
-    want = brute_components(texts, percent=percent)
-    for df, cell in ((docs, jaccard_join.CELL_BYTES), (clash, 512)):  # the second cuts every cell into sub-blocks
+def test_near_duplicates(docs, clash, empty, texts, monkeypatch):
+    for df, percent, cell in ((docs, 85, jaccard_join.CELL_BYTES), (clash, 60, 512)):  # the second cuts every cell into blocks
+        want = brute_components(texts, percent=percent)
         monkeypatch.setattr(jaccard_join, "CELL_BYTES", cell)
         got = by_id(jaccard_join.near_duplicates(df, percent=percent))
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == dict(enumerate(want))
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_large_cells_in_rounds(spark, monkeypatch):
+    """A chain of near copies whose ends have little in common, a bridge between two such groups, and
+    a set that only shares its frequent part: small blocks must give the same components."""
+    r = np.random.default_rng(8)
+    words_ = [f"v{i}" for i in range(4000)]
+    texts, at = [], 0
+    for g in range(2):
+        w = list(r.choice(words_, 80, replace=False))
+        for i in range(40):
+            w = list(w)
+            w[(3 * i) % 80] = f"g{g}x{i}"
+            texts.append(" ".join(w))
+            if g == 1 and i == 0:
+                half = texts[5].split(" ")[:40]
+                texts.append(" ".join(half + w[40:]))
+    want = brute_components(texts, percent=80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 1500)
+    got = by_id(jaccard_join.near_duplicates(df, percent=80))
+    assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == dict(enumerate(want))
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (1, "a b c d e"), (7, None)]
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
