@@ -47,7 +47,15 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/sparsela-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of ``written`` when nothing will read it again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pack_keys(k: np.ndarray) -> bytes:
@@ -139,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = flat(both.join(least, "u").where("v > u"), "v", "m")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        e = written(flat(small.select("b", "m").unionAll(small.select(F.col("a").alias("b"), "m")), "b", "m"))
+        old, e = e, written(flat(small.select("b", "m").unionAll(small.select(F.col("a").alias("b"), "m")), "b", "m"))
+        discard(old)
         now = mark(e)
         if now == seen:
             break
