@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id stays;
     of repeated rows one, and every row without an id."""
-    found = jaccard_join.near_duplicates(docs, n=5, percent=80)
+    found = jaccard_join.near_duplicates(docs, n=5, percent=80, links=False)
     first = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     one = docs.join(first.where("_rows = 1"), "doc_id", "left_semi")
     repeated = docs.join(first.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -4,12 +4,16 @@
 shingles are put in the order of frequency; two sets that link share one of the first
 ``n - ceil(t n) + 1`` of that order, so sets without a shared shingle there link with nothing.
 3. Sets that share such a shingle, directly or through others, form a cell. A cell of up to
-``CELL_BYTES`` is searched in one task; a larger one in rounds (``cell_links``), so that a large group
-of near copies costs no pairs of its blocks. 4. In a task, each set is a query to
-the inverted lists of the others: the longest lists are set aside (DivideSkip), the short ones
-are merged with counts, and sets that occur often enough are looked up in the long ones by
-binary search. Sets that already are in one component aren't compared again. 5. The links
-found (a spanning forest of each task) give the components.
+``CELL_BYTES`` is searched in one task, a larger one by pairs of blocks (``every_link``). 4. In a
+task, each set is a query to the inverted lists of the others: the longest lists are set aside
+(DivideSkip), the short ones are merged with counts, and sets that occur often enough are looked
+up in the long ones by binary search, or counted there if that is less work. Every such pair is
+verified. 5. A task gives each set's number of links, copies counted by class sizes, and a
+spanning forest of its links, from which the components come.
+
+Without ``links`` only components are wanted: sets that already are in one component aren't
+compared again, and a larger cell is searched in rounds (``cell_links``), so that a large group of
+near copies costs no pairs of its blocks.
 """
 
 from __future__ import annotations
@@ -37,11 +41,12 @@ def prefix_length(n, percent: int):
     return n + (-n * percent) // 100 + 1
 
 
-def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, labels: np.ndarray | None = None, weight: np.ndarray | None = None, links: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``sets`` (sorted distinct values).
 
     With ``sides`` (0 or 1 for each set), only links between the sides are looked for; with
-    ``labels``, only links that connect sets of different labels."""
+    ``labels``, only links that connect sets of different labels. With ``links``, every link is
+    found: each adds the other set's ``weight`` to the number of both its sets."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size = size[order]
@@ -49,13 +54,19 @@ def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     u, tok = np.unique(flat, return_inverse=True)
     off = np.concatenate(([0], np.cumsum(size)))
     doc = np.repeat(np.arange(len(order)), size)
-    by = np.argsort(tok, kind="stable")
-    post, list_off = doc[by], np.searchsorted(tok[by], np.arange(len(u) + 1))  # postings in the order of size
+    # own: the lists that hold a set, one for each side; other: those it is a query to
+    own = other = tok
+    if sides is not None:
+        side = sides[order].astype(np.int64)[doc]
+        own, other = tok + side * len(u), tok + (1 - side) * len(u)
+    by = np.argsort(own, kind="stable")
+    post = doc[by]  # postings in the order of size
+    begin = np.searchsorted(own[by], np.arange(len(u) * (1 if sides is None else 2)))
+    end, gone = begin.copy(), 0  # begin to end: the sets from ``lo`` to x, so a pair comes up once
     parent = list(range(len(order)))
     if labels is not None:
         first: dict[int, int] = {}
         parent = [first.setdefault(v, i) for i, v in enumerate(labels[order].tolist())]
-    side = None if sides is None else sides[order]
 
     def root(i):
         while parent[i] != i:
@@ -69,36 +80,53 @@ def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
         if not n:
             continue
         least = -(-percent * n // 100)
-        lo = int(np.searchsorted(size, least))  # smaller or equal sets before x; the pair comes up once
+        lo = int(np.searchsorted(size, least))
+        while gone < lo:
+            begin[own[off[gone] : off[gone + 1]]] += 1
+            gone += 1
+        t = other[off[x] : off[x + 1]]
+        a, length = begin[t], end[t] - begin[t]
+        end[own[off[x] : off[x + 1]]] += 1
         if lo >= x:
             continue
         need = max(1, -(-percent * (n + int(size[lo])) // (100 + percent)))
-        t = tok[off[x] : off[x + 1]]
-        a, length = list_off[t], list_off[t + 1] - list_off[t]
         rank = np.argsort(length, kind="stable")
         n_long = min(int(need / (MU * math.log2(max(2, int(length[rank[-1]]))) + 1)), need - 1)
         short, far = rank[: n - n_long], rank[n - n_long :]
         total = int(length[short].sum())
         if total <= 64:
-            merged = [(d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*(post[i : i + m].tolist() for i, m in zip(a[short], length[short]) if m > 1)))]
+            merged = [(d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*(post[i : i + m].tolist() for i, m in zip(a[short], length[short]) if m)))]
             cand = np.array([d for d, _ in merged], np.int64)
             count = np.array([c for _, c in merged], np.int64)
         else:
-            cand, count = np.unique(post[ragged(a[short], length[short])], return_counts=True)
-        ok = (cand >= lo) & (cand < x) & (count >= need - n_long)
-        if side is not None:
-            ok &= side[cand] != side[x]
+            cand, count = _counted(post[ragged(a[short], length[short])], lo, x)
+        ok = count >= need - n_long
         cand, count = cand[ok], count[ok]
+        if not len(cand):
+            continue
         mine = root(x)
+        far_total = int(length[far].sum())
+        if links is not None:
+            k = count.copy()
+            if far_total < len(cand) * len(far):  # more probes than postings
+                k += np.bincount(post[ragged(a[far], length[far])] - lo, minlength=x - lo)[cand - lo]
+            else:
+                _probe(post, a[far], length[far], cand, k)
+            linked = cand[100 * k >= percent * (n + size[cand] - k)]
+            links[order[x]] += weight[order[linked]].sum()
+            links[order[linked]] += weight[order[x]]
+            for d in linked.tolist():
+                r = root(d)
+                if r != mine:
+                    parent[r] = mine
+                    found.append((int(order[x]), int(order[d])))
+            continue
         # the likeliest first, in batches: most of the others are then connected already
         best = np.argsort(-count, kind="stable")
         cand, count, step = cand[best], count[best], 1
         while len(cand):
             c, k = cand[:step], count[:step].copy()
-            for j in far:
-                p = post[a[j] : a[j] + length[j]]
-                at = np.minimum(np.searchsorted(p, c), len(p) - 1)
-                k += p[at] == c
+            _probe(post, a[far], length[far], c, k)
             for d in c[100 * k >= percent * (n + size[c] - k)].tolist():
                 r = root(d)
                 if r != mine:
@@ -110,6 +138,23 @@ def search(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     return found
 
 
+def _counted(merged: np.ndarray, lo: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct postings from ``lo`` to x and how often each occurs: many are counted in an array, few sorted."""
+    if 4 * len(merged) < x - lo:
+        return np.unique(merged, return_counts=True)
+    count = np.bincount(merged - lo, minlength=x - lo)
+    at = np.flatnonzero(count)
+    return at + lo, count[at]
+
+
+def _probe(post: np.ndarray, start: np.ndarray, length: np.ndarray, cand: np.ndarray, k: np.ndarray) -> None:
+    """Adds to ``k`` in how many of the lists each candidate is, by binary search."""
+    for i, m in zip(start.tolist(), length.tolist()):
+        if m:
+            p = post[i : i + m]
+            k += p[np.minimum(np.searchsorted(p, cand), m - 1)] == cand
+
+
 def _distinct_texts(batches, n_blocks):
     """Ids of equal texts together, as far as one task sees them."""
 
@@ -150,25 +195,41 @@ def _sets_of(table: pa.Table, n: int):
     return [np.sort(np.concatenate(v)) for v in ids.values()], values[ragged(off[:-1][first], size)] if first else values[:0], np.concatenate(([0], np.cumsum(size)))
 
 
-def _links(tasks: DataFrame, percent: int) -> DataFrame:
-    """Links found in tasks. Columns: task, part (searched apart inside a task), side (-1: no sides),
-    label (sets of one label are connected already), rep, values."""
+def _links(tasks: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) found in tasks. Columns: task, part (searched apart inside a task), side (-1: no sides),
+    label (sets of one label are connected already), rep, values.
+
+    With ``every``, no link is left out: rows without b give the number n of rows that the task finds
+    linked with the set (a, key); further columns: key, weight (rows of the set)."""
+    cols = ["task", "part", "side", "label", "rep", "values"] + (["key", "weight"] if every else [])
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, counted = [], [], []
         table = table.take(pa.array(np.lexsort((table["rep"].to_numpy(), table["part"].to_numpy())))).combine_chunks()
         part, side, label, rep = (table[c].to_numpy() for c in ("part", "side", "label", "rep"))
+        weight = table["weight"].to_numpy() if every else None
         values = pybytes(table["values"].combine_chunks())
         new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for p, q in zip(new.tolist(), [*new[1:].tolist(), len(part)]):
             sides = None if side[p] < 0 else side[p:q]
-            for x, y in search([np.frombuffer(v, np.uint64) for v in values[p:q]], percent, sides, label[p:q]):
+            sets = [np.frombuffer(v, np.uint64) for v in values[p:q]]
+            links = np.zeros(q - p, np.int64) if every else None
+            for x, y in search(sets, percent, sides, None if every else label[p:q], weight[p:q] if every else None, links):
                 a.append(int(rep[p + x]))
                 b.append(int(rep[p + y]))
+            if every:
+                counted.append(links)
         give_back()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        out = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if not every:
+            return out
+        n = np.concatenate(counted)
+        some = np.flatnonzero(n)
+        null = lambda m: pa.nulls(m, pa.int64())
+        edges = out.append_column("key", null(len(a))).append_column("n", null(len(a)))
+        return pa.concat_tables([edges, pa.table({"a": pa.array(rep[some]), "b": null(len(some)), "key": pa.array(table["key"].to_numpy()[some]), "n": pa.array(n[some])})])
 
-    return tasks.select("task", "part", "side", "label", "rep", "values").groupBy("task").applyInArrow(run, "a long, b long")
+    return tasks.select(*cols).groupBy("task").applyInArrow(run, "a long, b long" + (", key long, n long" if every else ""))
 
 
 def _cut(sets: DataFrame, *by: str) -> DataFrame:
@@ -233,14 +294,42 @@ def cell_links(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     return found.unionAll(edges)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
+def every_link(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """All links inside the cells, as ``_links`` gives them; members: cell, rep, n, values, key, weight.
+
+    Cells of one block are searched whole. Of a larger cell every two blocks are compared whose sets
+    may link: a set links with sets of its own class of sizes and of the next ones."""
+    width = max(0.05, -math.log(percent / 100) * 1.0001)
+    cut = _cut(members, "cell")
+    plain = {"side": F.lit(-1), "label": F.col("rep")}
+    small = cut.where("subs = 1").withColumns({"task": F.pmod(F.xxhash64("cell"), F.lit(n_tasks)), "part": F.col("cell"), **plain})
+    found = _links(small, percent, True)
+    large = cut.where("subs > 1").drop("subs", "sub").withColumn("class", F.floor(F.log(F.col("n")) / width).cast("int"))
+    if large.isEmpty():
+        return found
+    large = written(_cut(large, "cell", "class"))
+    one = large.select("cell", "class", "sub").distinct()
+    two = one.select(F.col("cell").alias("cell2"), F.col("class").alias("class2"), F.col("sub").alias("sub2"))
+    same = (F.col("class") == F.col("class2")) & (F.col("sub") <= F.col("sub2"))
+    pairs = one.join(two, (F.col("cell") == F.col("cell2")) & (same | (F.col("class") + 1 == F.col("class2"))))
+    p, q = F.struct("class", "sub"), F.struct(F.col("class2").alias("class"), F.col("sub2").alias("sub"))
+    ends = pairs.select("cell", p.alias("p"), q.alias("q"), F.explode(F.array_distinct(F.array(p, q))).alias("block"))
+    ends = ends.select("cell", "p", "q", F.col("block.class").alias("class"), F.col("block.sub").alias("sub"))
+    side = F.when(F.col("p") == F.col("q"), -1).otherwise((F.struct("class", "sub") == F.col("q")).cast("int"))
+    tasks = large.join(ends, ["cell", "class", "sub"]).withColumns({**plain, "task": F.xxhash64("cell", "p", "q"), "part": F.lit(0), "side": side})
+    return found.unionAll(_links(tasks, percent, True))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, n_links.
 
     A-Z is lower-cased; a text of fewer than n words has its whole word sequence as one shingle.
     Two texts link when ``100 * intersection >= percent * union``; component_id is the smallest id
-    that links reach. Texts that are null or without words have no shingle and are alone.
+    that links reach, n_links the number of other rows that link with the row, its copies among
+    them. Without ``links`` there is no n_links, and only the links that components need are
+    looked for. Texts that are null or without words have no shingle and are alone.
     Repeated rows are all returned, in one component. Ids are integers; a row whose id is null
-    gives n_shingles null and no component. An empty table gives no rows. Other columns are
+    gives n_shingles and n_links null and no component. An empty table gives no rows. Other columns are
     not read. Shingles are compared by 64-bit hashes.
     """
     spark, size = df.sparkSession, input_bytes(df, text_col)
@@ -272,11 +361,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = entries.groupBy("tok").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").drop("z")
     cells = components(entries.join(stars, "tok").select(F.col("rep").alias("a"), "b"))
 
-    members = sets.where("values is not null").select("rep", "n", "values").join(cells.select(F.col("node").alias("rep"), F.col("label").alias("cell")), "rep")
-    found = cell_links(members, percent, max(8, size // CELL_BYTES))
-    labels = components(found).select(F.col("node").alias("rep"), "label")
-    out = sets.select("rep", "n", "ids").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    out = out.select(F.explode("ids").alias("id"), F.col("n").alias("n_shingles"), "label")
-    out = out.select(F.col("id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"))
-    none = every.where("id is null").select("id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionAll(none).select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id")
+    members = sets.where("values is not null").select("rep", "n", "values", F.xxhash64("values").alias("key"), F.size("ids").cast("long").alias("weight"))
+    members = members.join(cells.select(F.col("node").alias("rep"), F.col("label").alias("cell")), "rep")
+    n_tasks = max(8, size // CELL_BYTES)
+    found = written(every_link(members, percent, n_tasks)) if links else cell_links(members.drop("key", "weight"), percent, n_tasks)
+    labels = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "label")
+    out = sets.select("rep", "n", "ids", F.xxhash64("values").alias("key")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if links:
+        others = found.where("b is null").groupBy(F.col("a").alias("rep"), "key").agg(F.sum("n").alias("others"))
+        out = out.join(others, ["rep", "key"], "left").withColumn("n_links", F.when(F.col("n") > 0, F.size("ids") - 1 + F.coalesce("others", F.lit(0))).otherwise(0))
+    more = ["n_links"] if links else []
+    out = out.select(F.explode("ids").alias("id"), F.col("n").alias("n_shingles"), "label", *more)
+    out = out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"), *more)
+    null = F.lit(None).cast("long")
+    none = every.where("id is null").select("id", null.alias("n_shingles"), null.alias("component_id"), *(null.alias(c) for c in more))
+    return out.unionAll(none).select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id", *more)

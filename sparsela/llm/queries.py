@@ -24,6 +24,10 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
+    return op4_ngram_jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def op4_ngram_jaccard_links(spark, sf_dir):
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
@@ -57,7 +61,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_decontamination, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": r"""

@@ -215,6 +215,26 @@ def test_large_cells_in_rounds(spark, monkeypatch):
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == dict(enumerate(want))
 
 
+def brute_links(texts, n=4, percent=85):
+    sets = [shingles(t, n) for t in texts]
+    return [sum(i != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_every_link_is_counted(spark, texts, monkeypatch):
+    """Copies, groups of near copies in one block and in pairs of blocks, sizes of several classes."""
+    r = np.random.default_rng(3)
+    w = [f"k{i}" for i in range(200)]
+    group = [" ".join([*w[:i], "new", *w[i + 1 : 150 + 2 * i]]) for i in r.permutation(25).tolist()]
+    every = [*texts, *group, *group[:3]]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(3)
+    for percent, cell in ((85, jaccard_join.CELL_BYTES), (85, 3000), (60, 512)):
+        monkeypatch.setattr(jaccard_join, "CELL_BYTES", cell)
+        got = by_id(jaccard_join.near_duplicates(df, percent=percent))
+        assert [got[i]["n_links"] for i in range(len(every))] == (want := brute_links(every, percent=percent)) and max(want) > 10
+        few = by_id(jaccard_join.near_duplicates(df, percent=percent, links=False))
+        assert {i: x["component_id"] for i, x in got.items()} == {i: x["component_id"] for i, x in few.items()}
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (1, "a b c d e"), (7, None)]
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
