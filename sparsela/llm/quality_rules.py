@@ -2,7 +2,7 @@
 
 Base rules look at one text. The cross-document rule hashes normalised lines, counts the distinct
 documents of a host that hold each, takes lines above the limits out, and rejects documents of
-which too little is left. Documents with equal texts count as one document there.
+which too little is left. Copies are documents of their own there, as near copies are.
 """
 
 from __future__ import annotations
@@ -46,13 +46,15 @@ def normalise(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), WS, " "))
 
 
-def line_verdicts(df: DataFrame, id_col: str, text: str, host: str, min_docs: int, share: float) -> DataFrame:
+def line_verdicts(df: DataFrame, id_col: str, text: str, host: str, min_docs: int, share: float, distinct_texts: bool = False) -> DataFrame:
     """Words in frequent lines, per distinct (id, text, host) that has such lines."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(host).alias("_host"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     rows = rows.select("_id", "_host", "_text", "_pos", F.xxhash64(normalise(F.col("_line"))).alias("_h"), F.size(_words(F.col("_line"))).alias("_n")).where("_n > 0")
-    docs = df.select(F.col(host).alias("_host"), F.xxhash64(text).alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    # distinct first: a line repeated by thousands of copies is one row here
-    seen = rows.select("_host", "_h", "_text").distinct().groupBy("_host", "_h").agg(F.count("*").alias("_df")).where(F.col("_df") > min_docs)
+    # a document is an id with its text: repeated rows are one, copies under other ids are not
+    one = lambda i, t: (t if distinct_texts else F.xxhash64(i, t)).alias("_doc")
+    docs = df.select(F.col(host).alias("_host"), one(F.col(id_col), F.xxhash64(text))).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    # distinct first: that shuffle is spread by document, and a line of a third of all rows is counted before the next
+    seen = rows.select("_host", "_h", one(F.col("_id"), F.col("_text"))).distinct().groupBy("_host", "_h").agg(F.count("*").alias("_df")).where(F.col("_df") > min_docs)
     often = seen.join(docs, seen["_host"].eqNullSafe(docs["_host"])).where(F.col("_df") > share * F.col("_docs")).select(seen["_host"], "_h")
     # each frequent line goes to every salt, so that one line of a third of all rows is spread
     salted = often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"_host": "_host2", "_h": "_h2", "_salt": "_salt2"})
@@ -63,16 +65,16 @@ def line_verdicts(df: DataFrame, id_col: str, text: str, host: str, min_docs: in
     return once.groupBy("_id", "_host", "_text").agg(F.sum("_n").alias("_gone"))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.01, keep_share: float = 0.5, keep_words: int = 20) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.01, keep_share: float = 0.5, keep_words: int = 20, distinct_texts: bool = False) -> DataFrame:
     """One row per input row: id, the base columns, base_failed, n_removed_words, kept.
 
-    A line is taken out where more than ``min_docs`` distinct texts of its host, and more than
-    ``share`` of them, hold it. A document is depleted if fewer than ``keep_words`` of its words
-    or less than ``keep_share`` of them are left. Null texts have no words and fail. A null host is
+    A line is taken out where more than ``min_docs`` documents of its host, and more than ``share``
+    of them, hold it; with ``distinct_texts``, documents of equal texts are one there. A document is
+    depleted if fewer than ``keep_words`` of its words or less than ``keep_share`` of them are left. Null texts have no words and fail. A null host is
     a host. Repeated rows count once in line counts and are all returned. Other columns are not read.
     """
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[host_col].alias("host"))
-    gone = line_verdicts(src, "id", "text", "host", min_docs, share).withColumnsRenamed({"_id": "_gid", "_text": "_gtext", "_host": "_ghost"})
+    gone = line_verdicts(src, "id", "text", "host", min_docs, share, distinct_texts).withColumnsRenamed({"_id": "_gid", "_text": "_gtext", "_host": "_ghost"})
     base = base_rules(src).withColumn("_text", F.xxhash64("text")).drop("text")
     out = base.join(gone, base["id"].eqNullSafe(gone["_gid"]) & (base["_text"] == gone["_gtext"]) & base["host"].eqNullSafe(gone["_ghost"]), "left")
     out = out.withColumn("n_removed_words", F.coalesce("_gone", F.lit(0)).cast("long"))

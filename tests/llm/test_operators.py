@@ -291,6 +291,17 @@ def test_frequent_lines_deplete(spark):
     assert (100, 0, True) in got and (200, 0, True) in got
 
 
+def test_copies_are_documents_of_a_line(spark):
+    """Eleven copies of a text hold its lines in eleven documents; a repeated row adds none."""
+    text_ = lambda g: "\n".join(" ".join(f"{g}{k}x{j}" for j in "abcdefghijklm") for k in "abc")
+    rows = [(i, text_("p"), "h") for i in range(11)] + [(100 + i, text_("q"), "h") for i in range(10)] + [(100, text_("q"), "h"), (200, text_("p"), "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = by_id(quality_rules.quality_rules(df))
+    assert all((got[i]["n_removed_words"], got[i]["kept"]) == (39, False) for i in range(11))
+    assert all((got[i]["n_removed_words"], got[i]["kept"]) == (0, True) for i in (*range(100, 110), 200))
+    assert all(r["kept"] and not r["n_removed_words"] for r in quality_rules.quality_rules(df, distinct_texts=True).collect())
+
+
 def test_language(spark, empty):
     r = np.random.default_rng(0)
     pools = {"en": "the of and that with", "de": "der und nicht schön über", "fr": "le été où garçon avec", "es": "el niño que año está", "xx": "qzq zqx xqz"}
