@@ -51,21 +51,25 @@ def _byte_chars() -> dict[int, str]:
 
 @functools.lru_cache(4)
 def _merger(path: str):
-    """tiktoken over the same vocabulary: its ids are ranks of merges, as in the .json."""
+    """tiktoken over the strings that merges reach: their ids are ranks of merges, as in the .json."""
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path), special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={s: vocabulary(path)[s] for s in whole_tokens(path)}, special_tokens={})
 
 
 @functools.lru_cache(4)
 def whole_tokens(path: str) -> frozenset[bytes]:
     """Proof by trial, once for a vocabulary: the strings that merge to themselves alone.
 
-    A byte string's merges depend on nothing but the string, so a pre-token equal to one of
-    these is one token wherever it stands."""
-    m = _merger(path)
-    return frozenset(s for s, i in vocabulary(path).items() if m._core_bpe.encode_single_piece(s) == [i])
+    The trial is the library's own model without pre-tokenizer, which merges from single bytes;
+    tiktoken looks a whole piece up first, so it can't tell. Other strings never come out of merges,
+    and the merger leaves them out. A byte string's merges depend on nothing but the string, so a
+    pre-token equal to one of these is one token wherever it stands."""
+    model = _library(path).model
+    chars = _byte_chars()
+    alone = lambda s: [t.id for t in model.tokenize("".join(map(chars.get, s)))]
+    return frozenset(s for s, i in vocabulary(path).items() if alone(s) == [i])
 
 
 @functools.lru_cache(1)

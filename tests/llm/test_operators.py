@@ -408,6 +408,22 @@ def test_whole_tokens_are_one_token():
     assert pick and all(lib.encode(s.decode(), add_special_tokens=False).ids == [vocab[s]] for s in pick)
 
 
+def test_strings_that_merges_do_not_reach(tmp_path):
+    """'abcd' is in the vocabulary, but no merge makes it"""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    vocab = {c: b for b, c in tokens._byte_chars().items()} | {"ab": 256, "cd": 257, "abcd": 258}
+    lib = Tokenizer(models.BPE(vocab, [("a", "b"), ("c", "d")]))
+    lib.pre_tokenizer, lib.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    lib.save(p := str(tmp_path / "made_up.json"))
+    assert set(tokens.vocabulary(p)) - tokens.whole_tokens(p) == {b"abcd"}
+    every = ["abcd", "xabcd abcd.", "ab cd", "abcd\n12 abcdé"]
+    want = [lib.encode(t).ids for t in every]
+    flat, off = tokens.encode(pa.array(every), p)
+    assert [flat[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    assert tokens.count(pa.array(every), p)[0].tolist() == list(map(len, want))
+
+
 def test_packing(spark, docs, clash, empty, texts):
     lib = library()
     df = spark.createDataFrame(list(enumerate(ODD_TOKENS + texts)), "doc_id long, text string").repartition(2)
