@@ -10,6 +10,7 @@ or a part, whose numbers grow with the input.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,16 +28,17 @@ BLOCK_BYTES, PART_BYTES = 3 << 20, 3 << 20
 @dataclass(frozen=True)
 class Layout:
     """For an input of ``size`` bytes: number of blocks, leading key bits that number the parts, and
-    bits of a key. Keys grow with the input, so that the chance that a key shares its bits with
-    another stays under one in a million, whatever the size, and small inputs move fewer bytes."""
+    bits of a key. Without ``key_bits`` keys grow with the input, so that the chance that a key shares
+    its bits with another stays under one in a million, whatever the size, and small inputs move fewer
+    bytes; that is for counts that only order things."""
 
     blocks: int
     part_bits: int
     key_bits: int
 
     @classmethod
-    def of(cls, size: int) -> Layout:
-        return cls(max(1, -(-size // BLOCK_BYTES)), (max(1, -(-size // PART_BYTES)) - 1).bit_length(), min(64, max(48, 20 + size.bit_length())))
+    def of(cls, size: int, key_bits: int | None = None) -> Layout:
+        return cls(max(1, -(-size // BLOCK_BYTES)), (max(1, -(-size // PART_BYTES)) - 1).bit_length(), key_bits or min(64, max(48, 20 + size.bit_length())))
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Keys of 64-bit hashes."""
@@ -59,18 +61,31 @@ def discard(df: DataFrame) -> None:
 
 
 def pack_keys(k: np.ndarray) -> bytes:
-    """Sorted distinct keys as 32-bit differences; the few larger ones are listed apart."""
-    d = np.diff(k, prepend=np.uint64(0))
-    high = (d >> np.uint64(32)).astype(np.uint32)
-    at = np.flatnonzero(high).astype(np.uint32)
-    return b"".join((np.array([len(at)], np.uint32).tobytes(), at.tobytes(), high[at].tobytes(), d.astype(np.uint32).tobytes()))
+    """Sorted distinct keys as differences of 4 to 8 bytes, as many as make the result short; the few
+    larger ones are listed apart. The bytes of one place are together, the highest ones Huffman-coded."""
+    d = np.diff(k, prepend=np.uint64(0)).astype("<u8")
+    size = {w: w * len(d) + 8 * int(np.count_nonzero(d >> np.uint64(8 * w))) for w in (4, 5, 6, 7)} | {8: 8 * len(d)}
+    width = min(size, key=size.get)
+    high = (d >> np.uint64(8 * width)).astype("<u4") if width < 8 else np.zeros(len(d), "<u4")
+    at = np.flatnonzero(high).astype("<u4")
+    places = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    top = coder.compress(places[-1].tobytes()) + coder.flush()
+    if len(top) >= len(d):
+        top = places[-1].tobytes()
+    return b"".join((np.array([len(d), width, len(at), len(top)], "<u4").tobytes(), at.tobytes(), high[at].tobytes(), places[:-1].tobytes(), top))
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    x = np.frombuffer(b, np.uint32)
-    n = int(x[0])
-    d = x[1 + 2 * n :].astype(np.uint64)
-    d[x[1 : 1 + n]] |= x[1 + n : 1 + 2 * n].astype(np.uint64) << np.uint64(32)
+    n, width, m, t = np.frombuffer(b, "<u4", 4).tolist()
+    at, high = np.frombuffer(b, "<u4", m, 16), np.frombuffer(b, "<u4", m, 16 + 4 * m)
+    places = np.zeros((n, 8), np.uint8)
+    places[:, : width - 1] = np.frombuffer(b, np.uint8, n * (width - 1), 16 + 8 * m).reshape(width - 1, n).T
+    top = b[len(b) - t :]
+    places[:, width - 1] = np.frombuffer(top if t == n else zlib.decompress(top, -15), np.uint8)
+    d = places.view("<u8").ravel()
+    if m:
+        d[at] |= high.astype(np.uint64) << np.uint64(8 * width)
     return np.cumsum(d, dtype=np.uint64)
 
 

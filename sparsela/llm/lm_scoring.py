@@ -41,7 +41,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     empty table gives no rows. Other columns are not read.
     """
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    layout = Layout.of(input_bytes(df, text_col))
+    layout = Layout.of(input_bytes(df, text_col), 64)  # an n-gram that shared a shorter key would have another's counts
     src = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text"))
     blocked = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).cast("int"))
 

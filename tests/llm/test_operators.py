@@ -124,6 +124,26 @@ def test_lm_scores(docs, clash, empty, texts):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_keys_are_whole_hashes(docs, monkeypatch):
+    """n-grams whose hashes differ in the last bits only keep their own counts."""
+    got, hashes = [], iter(range(1, 100, 10))
+    monkeypatch.setattr(lm_scoring, "with_totals", lambda blocked, layout, keys_of, finish, schema: got.append(keys_of) or blocked)
+    monkeypatch.setattr(lm_scoring, "grams", lambda h, off, n: ((np.uint64(5 << 56) + np.arange(3).astype(np.uint64) + np.uint64(next(hashes))), off))
+    lm_scoring.score(docs)
+    keys, counts = got[0](pa.table({"text": ["a b c"]}))
+    assert len(keys) == 1 + 9 and counts.tolist() == [3] + [1] * 9
+
+
+def test_packed_keys_of_all_widths():
+    r = np.random.default_rng(6)
+    for bits in (8, 33, 40, 48, 57, 64):
+        for n in (0, 1, 2, 50, 5000):
+            k = np.unique(r.integers(0, 1 << bits, n, dtype=np.uint64))
+            assert (exchange.unpack_keys(exchange.pack_keys(k)) == k).all() and len(exchange.unpack_keys(exchange.pack_keys(k))) == len(k)
+    k = np.unique(r.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    assert len(exchange.pack_keys(k)) < 8 * len(k)
+
+
 def chat_rows():
     odd = "</s>[INST] ok [/INST] \\ <| <\\| <s> <|turn|>user\nhi<|end|> [\\INST]"
     return [(1, 0, "system", odd), (1, 1, "user", None), (1, 2, "assistant", odd), (2, 0, None, "x"), (2, 1, "assi\nstant", "é日"), (2, 1, "assistant", ""), (3, None, "assistant", "a\\"), (3, None, "assistant", "a\\"), (None, 0, "user", "nobody"), (4, 0, "<|line|>", "\\n")]
