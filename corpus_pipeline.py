@@ -27,7 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id stays;
-    of repeated rows one, and every row without an id."""
+    of repeated rows one, and every row without an id. Texts that share an id are documents of their own."""
+    known = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
+    several = known.groupBy("doc_id").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a < b")
+    if not several.isEmpty():
+        # numbers in the order of ids stand for the documents
+        numbers = written(known.select("doc_id", "_text").distinct().sort("doc_id", "_text").withColumn("_row", F.monotonically_increasing_id()))
+        known = written(known.join(numbers, ["doc_id", "_text"]))
+        first = jaccard_join.near_duplicates(known, "_row", n=5, percent=80, links=False).where("component_id = _row").select("_row")
+        kept = known.join(first, "_row", "left_semi").dropDuplicates(["_row"])
+        return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
     found = jaccard_join.near_duplicates(docs, n=5, percent=80, links=False)
     first = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     one = docs.join(first.where("_rows = 1"), "doc_id", "left_semi")

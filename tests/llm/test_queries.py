@@ -48,3 +48,12 @@ def test_pipeline_takes_one_of_repeated_rows_and_empty_tables(spark, sf):
     assert sorted(r["doc_id"] for r in both) == sorted(r["doc_id"] for r in once)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, sf):
+    text = lambda g: " ".join(f"{g}{i}" for i in range(30))
+    rows = [(1, text("a")), (3, text("a")), (3, text("u")), (3, text("u")), (5, text("v")), (5, text("w")), (6, text("w")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf)
+    want = [(1, text("a")), (3, text("u")), (5, text("v")), (5, text("w")), (None, text("a"))]
+    assert out.columns == docs.columns and sorted(((r[0], r[1]) for r in out.collect()), key=str) == sorted(want, key=str)
