@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import raw, sliced, small_batches
+from .text import give_back, raw, sliced, small_batches
 
 # fixed values: families of languages by ISO 639-1 code; a language not listed is its own family
 FAMILIES = {
@@ -30,6 +30,7 @@ FAMILIES = {
 FAMILY_OF = {lang: fam for fam, langs in FAMILIES.items() for lang in langs}
 BUCKETS = 2048  # for each gram size
 UNKNOWN = "und"
+CHOICE = 4  # rows ranked for each row taken into the sample, about
 
 _FOLD = np.full(256, 32, np.uint8)  # letters lower-cased, other ASCII to a blank
 _FOLD[128:] = np.arange(128, 256)
@@ -84,24 +85,59 @@ def by_rows(col: pa.Array, rows: int = 256):
         yield a, data[o[0] : o[-1]], o - o[0]
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
-    """Weights (last one the bias) of an L2 linear SVM by dual coordinate descent; y in {-1, 1}."""
-    n = len(y)
-    x = np.hstack([x, np.ones((n, 1), x.dtype)])
-    w, alpha, q = np.zeros(x.shape[1], np.float64), np.zeros(n), (x * x).sum(1) + 1e-12
+class Rows:
+    """Sparse rows: the columns and values of each that are not zero."""
+
+    def __init__(self, packed: list[bytes]):
+        """From ``pack_rows``; each row is 2 bytes of column and 4 of value for each entry."""
+        size = np.array([len(p) // 6 for p in packed], np.int64)
+        self.off = np.concatenate(([0], np.cumsum(size)))
+        self.col = np.empty(self.off[-1], np.uint16)
+        self.val = np.empty(self.off[-1], np.float32)
+        for p, a, n in zip(packed, self.off.tolist(), size.tolist()):
+            self.col[a : a + n] = np.frombuffer(p, np.uint16, n)
+            self.val[a : a + n] = np.frombuffer(p, np.float32, n, 2 * n)
+
+    def __len__(self):
+        return len(self.off) - 1
+
+    def dense(self, a: int, b: int, width: int) -> np.ndarray:
+        out = np.zeros((b - a, width), np.float32)
+        p = slice(self.off[a], self.off[b])
+        out[np.repeat(np.arange(b - a), np.diff(self.off[a : b + 1])), self.col[p]] = self.val[p]
+        return out
+
+
+def pack_rows(x: np.ndarray) -> list[bytes]:
+    """Each dense row as columns and values that are not zero."""
+    at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+    return [c.tobytes() + r[c].astype(np.float32).tobytes() for c, r in zip(at, x)]
+
+
+def linear_svm(x: Rows, rows: np.ndarray, y: np.ndarray, width: int, scale: float, c: float = 1.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
+    """Weights (last one the bias) of an L2 linear SVM on ``rows`` of x, which are ``scale`` times as
+    large there, by dual coordinate descent; y in {-1, 1}. Memory: the weights and one row."""
+    n = len(rows)
+    col, val, off = x.col, x.val, x.off.tolist()
+    w, bias, alpha = np.zeros(width), 0.0, np.zeros(n)
+    q = np.array([scale * scale * float(val[off[i] : off[i + 1]] @ val[off[i] : off[i + 1]]) for i in rows]) + 1 + 1e-12
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
-        for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w) - 1
+        for i in rng.permutation(n).tolist():
+            p = slice(off[rows[i]], off[rows[i] + 1])
+            at, v = col[p], val[p]
+            g = y[i] * (scale * float(w[at] @ v) + bias) - 1
             a = min(max(alpha[i] - g / q[i], 0.0), c)
             if a != alpha[i]:
-                w += (a - alpha[i]) * y[i] * x[i]
+                step = (a - alpha[i]) * y[i]
+                w[at] += step * scale * v
+                bias += step
                 worst = max(worst, abs(a - alpha[i]))
                 alpha[i] = a
         if worst < 1e-3:
             break
-    return w
+    return np.append(scale * w, bias)
 
 
 @dataclass
@@ -110,6 +146,7 @@ class Model:
     families: list[str]
     family_w: np.ndarray  # families x (features + 1)
     pairs: dict[tuple[str, str], np.ndarray]
+    least: float = 0.0  # scores below are of no learned language; see ``score_limit``
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language index and score of each row."""
@@ -140,40 +177,66 @@ class Model:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_language: int = 500, max_rows: int = 8000) -> Model:
     """Learn from at most ``per_language`` rows of each language and ``max_rows`` in all, those
-    with the smallest hash of their id. Rows with a null language are not used."""
-    src = small_batches(df).select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[order_col]).alias("h")).where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = src.select("lang", "h", F.xxhash64("text").alias("text")).withColumn("r", rank).where(F.col("r") <= per_language).orderBy("r", "lang").limit(max_rows).select("lang", "h").distinct()
-    sample = src.join(F.broadcast(picked), ["lang", "h"], "left_semi")  # max_rows rows at most
+    with the smallest hash of their id and text.
+
+    Rows with a null language or text are not used; a null id counts as any other. Repeated rows are
+    one. Ties of the hash fall together. The bounds hold whatever ids and texts there are, and no
+    task ranks more than about ``CHOICE`` times as many rows as are taken. An empty table gives a model
+    that knows no language.
+    """
+    src = small_batches(df).select(df[text_col].alias("text"), df[lang_col].alias("lang"), F.xxhash64(df[order_col], df[text_col]).alias("h")).where("lang is not null and text is not null")
+    # of a large language only hashes in the first part of their range are ranked
+    rows = src.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows")).orderBy("lang").limit(max_rows)
+    first = F.col("h") / 2.0**64 + 0.5 < F.lit(float(CHOICE * per_language)) / F.col("rows")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = src.select("lang", "h").join(F.broadcast(rows), "lang").where(first).select("lang", "h").distinct()  # max_rows languages at most
+    picked = few.withColumn("r", rank).where(F.col("r") <= per_language).orderBy("r", "lang").limit(max_rows).select("lang", "h")
+    sample = src.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # max_rows rows at most
 
     def features(batches):
         for b in sliced(batches, "text"):
             for a, data, offs in by_rows(b.column(0)):
                 x = gram_counts(data, offs)
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, len(x)), pa.array(list(map(bytes, x)), pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, len(x)), pa.array(pack_rows(x), pa.binary())], ["lang", "x"])
 
     got = sample.select("text", "lang").mapInArrow(features, "lang string, x binary").toArrow()
-    lang = np.array(got["lang"].to_pylist(), dtype=object)
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(lang), 2 * BUCKETS)
-    return fit(x, lang)
+    order = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist()))  # the order in which rows arrive must not matter
+    del got
+    lang, x = np.array([g for g, _ in order], dtype=object), Rows([v for _, v in order])
+    del order
+    model = fit(x, lang)
+    del x
+    give_back()
+    return model
 
 
-def fit(x: np.ndarray, lang: np.ndarray) -> Model:
-    order = np.lexsort((x[:, ::97].sum(1), lang.astype(str))) if len(lang) else np.empty(0, np.int64)
-    x, lang = x[order], lang[order]  # the order in which rows arrive must not matter
+def fit(x: Rows, lang: np.ndarray, width: int = 2 * BUCKETS) -> Model:
     langs = sorted(set(lang))
     fam = np.array([FAMILY_OF.get(g, g) for g in lang], dtype=object)
     families = sorted(set(fam))
-    scale = np.sqrt(x.shape[1]) / 4 if len(x) else 1.0
-    fitted = lambda rows, y: np.append(scale * (w := linear_svm(x[rows] * scale, y))[:-1], w[-1])
+    scale = float(np.sqrt(width)) / 4
     everyone = np.arange(len(x))
-    fw = [fitted(everyone, np.where(fam == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.append(np.zeros(x.shape[1]), 1.0) for _ in families]
+    fw = [linear_svm(x, everyone, np.where(fam == f, 1.0, -1.0), width, scale) for f in families] if len(families) > 1 else [np.append(np.zeros(width), 1.0) for _ in families]
     pairs = {}
     for a, b in itertools.combinations(langs, 2):
         if FAMILY_OF.get(a, a) == FAMILY_OF.get(b, b):
             rows = np.flatnonzero((lang == a) | (lang == b))
-            pairs[a, b] = fitted(rows, np.where(lang[rows] == a, 1.0, -1.0))
-    return Model(langs, families, np.array(fw) if fw else np.zeros((0, x.shape[1] + 1)), pairs)
+            pairs[a, b] = linear_svm(x, rows, np.where(lang[rows] == a, 1.0, -1.0), width, scale)
+    model = Model(langs, families, np.array(fw) if fw else np.zeros((0, width + 1)), pairs)
+    model.least = score_limit(model, x, lang, width)
+    return model
+
+
+def score_limit(model: Model, x: Rows, lang: np.ndarray, width: int) -> float:
+    """Half the score that 999 of 1000 rightly identified sample rows reach, so that texts
+    of the learned languages stay; a script or letters never seen score lower."""
+    right = []
+    for a in range(0, len(x), 256):
+        b = min(a + 256, len(x))
+        got, score = model.predict(x.dense(a, b, width))
+        right.append(score[np.array(model.langs, dtype=object)[got] == lang[a:b]])
+    right = np.concatenate(right) if right else np.empty(0)
+    return 0.5 * float(np.quantile(right, 0.001)) if len(right) else 0.0
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,10 +260,12 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
     """The rows of ``df``, all columns unchanged, whose language is not ``und`` and whose score is
-    ``least`` or more. Null texts and texts without a letter go; narrow, no join."""
+    ``least`` (default: the model's own limit) or more. Null texts, texts without a letter and texts
+    unlike all learned languages go. Repeated rows are judged alike. Narrow, no join."""
     at = df.columns.index(text_col)
+    least = model.least if least is None else least
 
     def run(batches):
         for b in sliced(batches, text_col):

@@ -139,7 +139,11 @@ def fit(bags: list[np.ndarray], label: np.ndarray, epochs: int = 40, rate: float
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000) -> Model:
-    """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of their id."""
+    """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of their id.
+
+    A null text or one without words is one empty passage, and teaches as such. Repeated rows are
+    one; copies under other ids are documents of their own. Without labelled rows the model is the
+    starting one. Ties of the hash are broken by id and label."""
 
     def run(batches):
         for b in sliced(batches, "text", SLICE):
@@ -172,7 +176,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, that score ``least`` or more; narrow, no join."""
+    """The rows of ``df``, all columns unchanged, that score ``least`` or more; narrow, no join.
+
+    Null and empty texts are judged as one empty passage; repeated rows are judged alike."""
     at = df.columns.index(text_col)
 
     def run(batches):

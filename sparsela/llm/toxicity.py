@@ -61,15 +61,25 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float
 
 
 def sample_of(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int, text_col: str) -> DataFrame:
-    """Texts and labels of the ``max_rows`` labelled rows with the smallest hash of their id."""
-    rows = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label")).where("id is not null and label is not null")
+    """Texts and labels (id, text, label) of at most ``max_rows`` labelled documents, those with the
+    smallest hash of their id; the bound holds for repeated ids too. Rows with a null id or label are
+    not used, and repeated rows are one."""
+    rows = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label")).where("id is not null and label is not null").distinct()
     picked = rows.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    return small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")  # max_rows rows at most
+    src = small_batches(df).select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(picked), "id")  # max_rows rows at most
+    src = src.withColumn("h", F.xxhash64("id", "text", "label"))
+    # an id can have many rows: the bound is put on the keys of what was found, then on the texts
+    few = src.select("id", "h").distinct().orderBy(F.xxhash64("id"), "h").limit(max_rows).select("h")
+    return src.join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"]).select("id", "text", "label")
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of their id,
-    and from features in ``min_docs`` of them at least. Gives the features with a weight, their weights, the bias."""
+    and from features in ``min_docs`` of them at least. Gives the features with a weight, their weights, the bias.
+
+    Null and empty texts have no features and teach the bias alone. Copies with one label count once,
+    and so do repeated rows; an id with two labels teaches both. Without labelled rows all weights are 0.
+    Ties of the hash are broken by id and label, so the sample is the same in every run."""
 
     def run(batches):
         for b in sliced(batches, "text"):
