@@ -5,6 +5,11 @@ to the part of the key's leading bits, packed as differences of sorted keys. A p
 counts up and answers every block with the totals in the block's key order. So a key that is in
 a third of all rows reaches its part once from each block, and no task holds more than a block
 or a part, whose numbers grow with the input.
+
+Blocks times parts would be the square of the input, so beyond ``2 ** HOP_BITS`` parts messages go
+by way of groups of blocks: a block sends a message to each of the ``2 ** (part_bits / 2)`` leading
+halves of part numbers, and a group merges those of its blocks for one half before it sends on. Then
+the messages grow as the input to the power 1.5, and hold some 200 keys each at 100 TB.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from ..session import checkpoint_dir
 from .text import give_back
 
 BLOCK_BYTES, PART_BYTES = 3 << 20, 3 << 20
+HOP_BITS = 15
 
 
 @dataclass(frozen=True)
@@ -35,10 +41,12 @@ class Layout:
     blocks: int
     part_bits: int
     key_bits: int
+    first_bits: int  # leading key bits that number a block's messages
 
     @classmethod
     def of(cls, size: int, key_bits: int | None = None) -> Layout:
-        return cls(max(1, -(-size // BLOCK_BYTES)), (max(1, -(-size // PART_BYTES)) - 1).bit_length(), key_bits or min(64, max(48, 20 + size.bit_length())))
+        part_bits = (max(1, -(-size // PART_BYTES)) - 1).bit_length()
+        return cls(max(1, -(-size // BLOCK_BYTES)), part_bits, key_bits or min(64, max(48, 20 + size.bit_length())), part_bits if part_bits <= HOP_BITS else part_bits // 2)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Keys of 64-bit hashes."""
@@ -116,29 +124,69 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(answers, pa.binary())})
 
 
+MESSAGES, TOTALS = "block long, part long, keys binary, counts binary", "block long, part long, totals binary"
+
+
+def messages(table: pa.Table, keys: np.ndarray, counts: np.ndarray, layout: Layout, bits: int | None = None) -> pa.Table:
+    """A block's messages to the parts (or halves of part numbers, beyond ``2 ** HOP_BITS``): one for each
+    value of the leading key bits. Keys are sorted and distinct."""
+    shift = layout.key_bits - (layout.first_bits if bits is None else bits)
+    part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    stop = np.append(first[1:], len(keys))
+    block = table["block"][0].as_py()
+    give_back()
+    return pa.table({"block": pa.array([block] * len(first), pa.int64()), "part": pa.array(part[first]), "keys": pa.array([pack_keys(keys[a:b]) for a, b in zip(first, stop)], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in zip(first, stop)], pa.binary())})
+
+
+def totals_of(sent: DataFrame, layout: Layout) -> DataFrame:
+    """Totals of each block's keys, rows (block, part, totals) to be read in the order of part, for the
+    ``messages`` of all blocks."""
+    if layout.first_bits == layout.part_bits:
+        return sent.groupBy("part").applyInArrow(_sum_part, TOTALS)
+    hop = layout.first_bits
+    # a group of blocks and a leading half of the part numbers make a block of their own
+    groups = max(1, layout.blocks >> hop)
+    via = sent.withColumnsRenamed({"block": "from", "part": "half"}).withColumn("block", F.xxhash64(F.pmod("from", F.lit(groups)), "half"))
+
+    def union(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        keys = [unpack_keys(b) for b in table["keys"].to_pylist()]
+        return keys, np.unique(np.concatenate(keys))
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, u = union(table)
+        counts = np.concatenate([unpack_counts(b) for b in table["counts"].to_pylist()])
+        return messages(table, u, np.bincount(np.searchsorted(u, np.concatenate(keys)), counts, len(u)).astype(np.int64), layout, layout.part_bits)
+
+    def back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, u = union(table)
+        totals = in_order(answers)
+        return pa.table({"block": table["from"], "part": table["half"], "totals": pa.array([pack_counts(totals[np.searchsorted(u, k)]) for k in keys], pa.binary())})
+
+    answers = via.groupBy("block").applyInArrow(merge, MESSAGES).groupBy("part").applyInArrow(_sum_part, TOTALS)
+    return via.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, TOTALS)
+
+
+def in_order(answers: pa.Table) -> np.ndarray:
+    """A block's totals in the order of its keys."""
+    totals = [unpack_counts(b) for b in answers.sort_by("part")["totals"].to_pylist()]
+    return np.concatenate(totals) if totals else np.empty(0, np.int64)
+
+
 def with_totals(blocked: DataFrame, layout: Layout, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``finish(block, totals)`` for each block of ``blocked`` (column ``block``).
+    """``finish(block, totals)`` for each block of ``blocked`` (column ``block``, long).
 
     keys_of gives a block's sorted distinct keys and their counts; totals are in that order."""
 
     def send(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(table)
-        give_back()
-        part = (keys >> np.uint64(layout.key_bits - layout.part_bits)).astype(np.int64)
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        stop = np.append(first[1:], len(keys))
-        block = table["block"][0].as_py()
-        return pa.table({"block": pa.array([block] * len(first), pa.int32()), "part": pa.array(part[first].astype(np.int32)), "keys": pa.array([pack_keys(keys[a:b]) for a, b in zip(first, stop)], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in zip(first, stop)], pa.binary())})
+        return messages(table, *keys_of(table), layout)
 
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part")
-        totals = [unpack_counts(b) for b in answers["totals"].to_pylist()]
-        out = finish(table, np.concatenate(totals) if totals else np.empty(0, np.int64))
+        out = finish(table, in_order(answers))
         give_back()
         return out
 
-    sent = blocked.groupBy("block").applyInArrow(send, "block int, part int, keys binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(_sum_part, "block int, part int, totals binary")
+    answers = totals_of(blocked.groupBy("block").applyInArrow(send, MESSAGES), layout)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(receive, schema)
 
 

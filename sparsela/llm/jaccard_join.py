@@ -159,7 +159,7 @@ def _distinct_texts(batches, n_blocks):
     """Ids of equal texts together, as far as one task sees them."""
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([k[0] % n_blocks for k in held], pa.int32()), pa.array([np.array(v[0], np.int64).tobytes() for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.binary()).cast(pa.string())], ["block", "ids", "text"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] % n_blocks for k in held], pa.int64()), pa.array([np.array(v[0], np.int64).tobytes() for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.binary()).cast(pa.string())], ["block", "ids", "text"])
 
     held, size = {}, 0
     for b in sliced(batches, "text"):
@@ -337,7 +337,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = df.select(id_col).schema[0].dataType
     every = small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     src = every.where("id is not null")
-    blocked = src.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block int, ids binary, text string")
+    blocked = src.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block long, ids binary, text string")
 
     def keys_of(table):
         _, values, _ = _sets_of(table, n)

@@ -92,17 +92,17 @@ def test_components(spark):
     assert exchange.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_lm(texts, backoff=0.4):
+def brute_lm(texts, backoff=0.4, order=3):
     ws = [words(t) for t in texts]
     grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
-    every = {n: Counter(g for w in ws for g in grams(w, n)) for n in (1, 2, 3)}
+    every = {n: Counter(g for w in ws for g in grams(w, n)) for n in range(1, order + 1)}
     total, out = sum(map(len, ws)), []
     for w in ws:
-        own = {n: Counter(grams(w, n)) for n in (1, 2, 3)}
+        own = {n: Counter(grams(w, n)) for n in range(1, order + 1)}
         c = lambda g: every[len(g)][g] - own[len(g)][g]
         s = 0.0
         for i in range(len(w)):
-            full = min(i, 2)
+            full = min(i, order - 1)
             for n in range(full + 1, 0, -1):
                 g = tuple(w[i - n + 1 : i + 1])
                 if n == 1:
@@ -124,14 +124,35 @@ def test_lm_scores(docs, clash, empty, texts):
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_lm_keys_are_whole_hashes(docs, monkeypatch):
+def test_lm_keys_are_whole_hashes(monkeypatch):
     """n-grams whose hashes differ in the last bits only keep their own counts."""
-    got, hashes = [], iter(range(1, 100, 10))
-    monkeypatch.setattr(lm_scoring, "with_totals", lambda blocked, layout, keys_of, finish, schema: got.append(keys_of) or blocked)
-    monkeypatch.setattr(lm_scoring, "grams", lambda h, off, n: ((np.uint64(5 << 56) + np.arange(3).astype(np.uint64) + np.uint64(next(hashes))), off))
-    lm_scoring.score(docs)
-    keys, counts = got[0](pa.table({"text": ["a b c"]}))
-    assert len(keys) == 1 + 9 and counts.tolist() == [3] + [1] * 9
+    hashes = iter(range(1, 100, 10))
+    monkeypatch.setattr(lm_scoring, "grams", lambda h, off, n: ((np.uint64(5 << 56) + np.arange(len(h) - n + 1).astype(np.uint64) + np.uint64(next(hashes))), off))
+    packed = lm_scoring.packed_texts([pa.RecordBatch.from_pydict({"id": [1], "block": [0], "text": ["a b c"]})])
+    keys, counts = lm_scoring.Block(pa.Table.from_batches(packed)).keys(0)
+    assert len(keys) == 1 + 3 + 2 and counts.tolist() == [3] + [1] * 5
+
+
+def test_lm_of_other_orders(docs, texts):
+    for order in (2, 4):
+        got = by_id(lm_scoring.score(docs, order=order))
+        for i, (n, s) in enumerate(brute_lm(texts, order=order)):
+            assert got[i]["n_words"] == n and abs(got[i]["log_score"] - s) < 1e-6
+
+
+def test_messages_by_way_of_groups(docs, texts, monkeypatch):
+    """Blocks of 2000 bytes whose messages take one hop or two: the same scores, and at 8 times the
+    blocks fewer than 8 * 8 times the messages."""
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(exchange, "PART_BYTES", 2000)
+    want = brute_lm(texts)
+    for hop in (15, 2):
+        monkeypatch.setattr(exchange, "HOP_BITS", hop)
+        got = by_id(lm_scoring.score(docs))
+        assert all(abs(got[i]["log_score"] - s) < 1e-6 for i, (n, s) in enumerate(want))
+    one, eight = exchange.Layout.of(2000 << 8), exchange.Layout.of(2000 << 11)
+    number = lambda x: x.blocks * (1 << x.first_bits) + (x.blocks >> x.first_bits) * (1 << x.first_bits) * (1 << x.part_bits - x.first_bits)  # noqa: E731  of both hops
+    assert eight.blocks == 8 * one.blocks and number(eight) <= 8**1.5 * 1.5 * number(one) and number(eight) < eight.blocks * (1 << eight.part_bits) / 8
 
 
 def test_packed_keys_of_all_widths():
