@@ -53,19 +53,36 @@ class Layout:
         return h >> np.uint64(64 - self.key_bits) if self.key_bits < 64 else h
 
 
+_tables: list[str] = []  # tables of ``written`` that are still there
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/sparsela-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    _tables.append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Remove the table of ``written`` when nothing will read it again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df._written)
+
+
+def _remove(spark, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _tables:
+        _tables.remove(name)
+
+
+def release(spark, keep: DataFrame | None = None) -> None:
+    """Remove all tables of ``written`` but that of ``keep``: for the caller who has stored what was made
+    from them, or no longer needs it."""
+    for name in [t for t in _tables if keep is None or t != keep._written]:
+        _remove(spark, name)
 
 
 def pack_keys(k: np.ndarray) -> bytes:

@@ -4,7 +4,8 @@
 shingles are put in the order of frequency; two sets that link share one of the first
 ``n - ceil(t n) + 1`` of that order, so sets without a shared shingle there link with nothing.
 3. Sets that share such a shingle, directly or through others, form a cell. A cell of up to
-``CELL_BYTES`` is searched in one task, a larger one by pairs of blocks (``every_link``). 4. In a
+``CELL_BYTES`` is searched in one task; a larger one by blocks, and by those pairs of sets and other
+blocks that share a shingle (``every_link``). 4. In a
 task, each set is a query to the inverted lists of the others: the longest lists are set aside
 (DivideSkip), the short ones are merged with counts, and sets that occur often enough are looked
 up in the long ones by binary search, or counted there if that is less work. Every such pair is
@@ -229,7 +230,9 @@ def _links(tasks: DataFrame, percent: int, every: bool = False) -> DataFrame:
         edges = out.append_column("key", null(len(a))).append_column("n", null(len(a)))
         return pa.concat_tables([edges, pa.table({"a": pa.array(rep[some]), "b": null(len(some)), "key": pa.array(table["key"].to_numpy()[some]), "n": pa.array(n[some])})])
 
-    return tasks.select(*cols).groupBy("task").applyInArrow(run, "a long, b long" + (", key long, n long" if every else ""))
+    # by a number, or small partitions would be put together although their tasks are long
+    dealt = tasks.select(*cols).repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task")
+    return dealt.groupBy("task").applyInArrow(run, "a long, b long" + (", key long, n long" if every else ""))
 
 
 def _cut(sets: DataFrame, *by: str) -> DataFrame:
@@ -239,19 +242,42 @@ def _cut(sets: DataFrame, *by: str) -> DataFrame:
     return sets.join(load, list(by)).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
 
 
-def cell_links(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
-    """Links (a, b) that connect all that is linked inside the cells; members: cell, rep, n, values.
+def _meeting(entries: DataFrame, placed: DataFrame) -> DataFrame:
+    """(cell, rep, key, blk, other): the other blocks of the cell where a set with one of the set's prefix
+    shingles is; only there can it have a link. entries: rep, key, tok; placed: cell, rep, key, blk.
+
+    Shingles whose sets are in the same blocks are one (``sig``), so that a large group of near copies
+    gives a row for each set and block, not for each of its shingles."""
+    at = entries.join(placed.select("cell", "rep", "key", "blk"), ["rep", "key"])
+    lists = at.groupBy("cell", "tok").agg(F.sort_array(F.collect_set("blk")).alias("blks")).where(F.size("blks") > 1).withColumn("sig", F.xxhash64("blks"))
+    mine = at.join(lists.select("cell", "tok", "sig"), ["cell", "tok"]).select("cell", "rep", "key", "blk", "sig").distinct()
+    others = lists.select("cell", "sig", "blks").distinct().select("cell", "sig", F.explode("blks").alias("other"))
+    return mine.join(others, ["cell", "sig"]).where(F.col("blk") != F.col("other")).select("cell", "rep", "key", "blk", "other").distinct()
+
+
+def _pair_tasks(sets: DataFrame, meet: DataFrame, whole: DataFrame) -> DataFrame:
+    """Tasks of two blocks, with those sets of each that meet the other, and of ``whole`` blocks."""
+    p, q = F.least("blk", "other"), F.greatest("blk", "other")
+    pairs = meet.select("cell", "rep", "key", p.alias("p"), q.alias("q"), (F.col("blk") == q).cast("int").alias("side"))
+    alone = whole.select("cell", "rep", "key", F.col("blk").alias("p"), F.col("blk").alias("q"), F.lit(-1).alias("side"))
+    return sets.join(pairs.unionAll(alone), ["cell", "rep", "key"]).withColumns({"task": F.xxhash64("cell", "p", "q"), "part": F.lit(0)})
+
+
+def cell_links(members: DataFrame, entries: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """Links (a, b) that connect all that is linked inside the cells; members: cell, rep, key, n, values;
+    entries: rep, key, tok.
 
     Cells of one block are searched whole. A larger cell: (1) each block by itself; (2) of every
     component of a block its smallest and largest member, again by blocks, until they fit into one or
-    get no fewer; (3) what is still apart: blocks of one component are compared with blocks of others
-    only, so nothing is left to compare where a group of near copies has become one component.
+    get no fewer; (3) what is still apart: sets are compared with those of other components in blocks
+    that hold one of their prefix shingles, so nothing is left to compare where a group of near copies
+    has become one component.
     """
     cut = _cut(members, "cell")
     alone = F.lit(-1)
     small = cut.where("subs = 1").withColumns({"task": F.pmod(F.xxhash64("cell"), F.lit(n_tasks)), "part": F.col("cell"), "side": alone, "label": F.col("rep")})
     found = _links(small, percent)
-    large = cut.where("subs > 1").select("cell", "rep", "n", "values", "subs", "sub")
+    large = cut.where("subs > 1").select("cell", "rep", "key", "n", "values", "subs", "sub")
     if large.isEmpty():
         return found
     large = written(large)
@@ -268,9 +294,9 @@ def cell_links(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
         known = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("known"))
         ends = now.select("cell", "sub", "rep").join(known, "rep", "left").groupBy("cell", "sub", F.coalesce("known", "rep").alias("known")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
         ends = ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"), "known")
-        now, label = written(_cut(large.select("cell", "rep", "n", "values").join(ends, "rep"), "cell")), F.col("known")
+        now, label = written(_cut(large.select("cell", "rep", "key", "n", "values").join(ends, "rep"), "cell")), F.col("known")
     known = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("known"))
-    rest = large.select("cell", "rep", "n", "values").join(known, "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
+    rest = large.select("cell", "rep", "key", "n", "values").join(known, "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
     apart = rest.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
     rest = rest.join(apart, "cell", "left_semi")
     if not rest.isEmpty():
@@ -280,25 +306,23 @@ def cell_links(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
         few = F.col("total")
         light = rest.where(~own).groupBy("cell").agg(F.ceil(F.sum("n") * 8 / CELL_BYTES).cast("int").alias("total"))
         rest = rest.join(light, "cell", "left")
-        rest = rest.withColumns({"pure": F.when(own, F.col("label")), "block": F.when(own, F.xxhash64("label", "sub")).otherwise(F.pmod(F.xxhash64("label"), few))})
-        rest = written(rest.select("cell", "rep", "n", "values", "label", "pure", "block"))
-        one = rest.select("cell", "pure", "block").distinct()
-        two = one.select(F.col("cell").alias("cell2"), F.col("pure").alias("pure2"), F.col("block").alias("block2"))
-        mixed = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
-        pairs = one.join(two, (F.col("cell") == F.col("cell2")) & ((F.col("block") < F.col("block2")) & mixed | (F.col("block") == F.col("block2")) & F.col("pure").isNull() & F.col("pure2").isNull()))
-        pairs = pairs.select("cell", F.col("block").alias("p"), F.col("block2").alias("q"))
-        ends = pairs.select("cell", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
-        side = F.when(F.col("p") == F.col("q"), -1).otherwise((F.col("block") == F.col("q")).cast("int"))
-        tasks = rest.join(ends, ["cell", "block"]).withColumns({"task": F.xxhash64("cell", "p", "q"), "part": F.lit(0), "side": side})
+        blk = F.struct(F.when(own, F.col("label")).alias("pure"), F.when(own, F.xxhash64("label", "sub")).otherwise(F.pmod(F.xxhash64("label"), few)).alias("no"))
+        rest = written(rest.withColumn("blk", blk).select("cell", "rep", "key", "n", "values", "label", "blk"))
+        # blocks of one component alone have nothing to find in each other or in themselves
+        mixed = F.col("blk.pure").isNull() | F.col("other.pure").isNull() | (F.col("blk.pure") != F.col("other.pure"))
+        tasks = _pair_tasks(rest, _meeting(entries, rest).where(mixed), rest.where("blk.pure is null"))
         edges = edges.unionAll(_links(tasks, percent))
     return found.unionAll(edges)
 
 
-def every_link(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
-    """All links inside the cells, as ``_links`` gives them; members: cell, rep, n, values, key, weight.
+def every_link(members: DataFrame, entries: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """All links inside the cells, as ``_links`` gives them; members: cell, rep, n, values, key, weight;
+    entries: rep, key, tok.
 
-    Cells of one block are searched whole. Of a larger cell every two blocks are compared whose sets
-    may link: a set links with sets of its own class of sizes and of the next ones."""
+    Cells of one block are searched whole. A larger cell is cut into blocks by classes of sizes: a set
+    links with sets of its own class and of the next ones. Each block is searched by itself; of two
+    blocks only the sets are compared that have a prefix shingle of the other block's sets, so the work
+    on a cell grows with the sets that meet, not with the square of its blocks."""
     width = max(0.05, -math.log(percent / 100) * 1.0001)
     cut = _cut(members, "cell")
     plain = {"side": F.lit(-1), "label": F.col("rep")}
@@ -307,17 +331,10 @@ def every_link(members: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     large = cut.where("subs > 1").drop("subs", "sub").withColumn("class", F.floor(F.log(F.col("n")) / width).cast("int"))
     if large.isEmpty():
         return found
-    large = written(_cut(large, "cell", "class"))
-    one = large.select("cell", "class", "sub").distinct()
-    two = one.select(F.col("cell").alias("cell2"), F.col("class").alias("class2"), F.col("sub").alias("sub2"))
-    same = (F.col("class") == F.col("class2")) & (F.col("sub") <= F.col("sub2"))
-    pairs = one.join(two, (F.col("cell") == F.col("cell2")) & (same | (F.col("class") + 1 == F.col("class2"))))
-    p, q = F.struct("class", "sub"), F.struct(F.col("class2").alias("class"), F.col("sub2").alias("sub"))
-    ends = pairs.select("cell", p.alias("p"), q.alias("q"), F.explode(F.array_distinct(F.array(p, q))).alias("block"))
-    ends = ends.select("cell", "p", "q", F.col("block.class").alias("class"), F.col("block.sub").alias("sub"))
-    side = F.when(F.col("p") == F.col("q"), -1).otherwise((F.struct("class", "sub") == F.col("q")).cast("int"))
-    tasks = large.join(ends, ["cell", "class", "sub"]).withColumns({**plain, "task": F.xxhash64("cell", "p", "q"), "part": F.lit(0), "side": side})
-    return found.unionAll(_links(tasks, percent, True))
+    large = _cut(large, "cell", "class").withColumn("blk", F.struct("class", "sub")).withColumn("label", F.col("rep"))
+    large = written(large.select("cell", "rep", "key", "n", "values", "weight", "label", "blk"))
+    near = F.abs(F.col("blk.class") - F.col("other.class")) <= 1
+    return found.unionAll(_links(_pair_tasks(large, _meeting(entries, large).where(near), large), percent, True))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, links: bool = True) -> DataFrame:
@@ -357,14 +374,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table({"rep": pa.array([int(i[0]) for i in ids], pa.int64()), "ids": pa.array([i.tolist() for i in ids], pa.list_(pa.int64())), "n": pa.array(np.diff(off)), "prefix": pa.array(first, pa.list_(pa.int64())), "values": pa.array(sets, pa.binary())})
 
     sets = written(with_totals(blocked, layout, keys_of, finish, "rep long, ids array<long>, n long, prefix array<long>, values binary"))
-    entries = sets.where("values is not null").select("rep", F.explode("prefix").alias("tok"))
+    entries = sets.where("values is not null").select("rep", F.xxhash64("values").alias("key"), F.explode("prefix").alias("tok"))
     stars = entries.groupBy("tok").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").drop("z")
     cells = components(entries.join(stars, "tok").select(F.col("rep").alias("a"), "b"))
 
     members = sets.where("values is not null").select("rep", "n", "values", F.xxhash64("values").alias("key"), F.size("ids").cast("long").alias("weight"))
     members = members.join(cells.select(F.col("node").alias("rep"), F.col("label").alias("cell")), "rep")
-    n_tasks = max(8, size // CELL_BYTES)
-    found = written(every_link(members, percent, n_tasks)) if links else cell_links(members.drop("key", "weight"), percent, n_tasks)
+    n_tasks = max(64, 4 * size // CELL_BYTES)
+    found = written(every_link(members, entries, percent, n_tasks)) if links else cell_links(members.drop("weight"), entries, percent, n_tasks)
     labels = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "label")
     out = sets.select("rep", "n", "ids", F.xxhash64("values").alias("key")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     if links:

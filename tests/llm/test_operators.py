@@ -268,7 +268,7 @@ def test_every_link_is_counted(spark, texts, monkeypatch):
     group = [" ".join([*w[:i], "new", *w[i + 1 : 150 + 2 * i]]) for i in r.permutation(25).tolist()]
     every = [*texts, *group, *group[:3]]
     df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(3)
-    for percent, cell in ((85, jaccard_join.CELL_BYTES), (85, 3000), (60, 512)):
+    for percent, cell in ((85, jaccard_join.CELL_BYTES), (60, 2000)):
         monkeypatch.setattr(jaccard_join, "CELL_BYTES", cell)
         got = by_id(jaccard_join.near_duplicates(df, percent=percent))
         assert [got[i]["n_links"] for i in range(len(every))] == (want := brute_links(every, percent=percent)) and max(want) > 10
@@ -276,6 +276,25 @@ def test_every_link_is_counted(spark, texts, monkeypatch):
         assert {i: x["component_id"] for i, x in got.items()} == {i: x["component_id"] for i, x in few.items()}
 
 
+def test_blocks_that_share_no_shingle_are_not_compared(spark, monkeypatch):
+    """A ring of texts of which each shares runs with the next ones alone: one cell of many blocks, of
+    which few pairs are compared; some neighbours are near copies."""
+    runs = [" ".join(f"e{i}x{j}" for j in range(12)) for i in range(80)]
+    texts = [" ".join(runs[(i + k) % 80] for k in range(4)) for i in range(80)]
+    texts += [f"{t} tail{i}" for i, t in enumerate(texts) if i % 9 == 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 1200)
+    seen, plain = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda tasks, *a: seen.append(tasks.select("task", "p", "q").distinct().count() if "p" in tasks.columns else 0) or plain(tasks, *a))
+    for links in (True, False):
+        seen.clear()
+        got = by_id(jaccard_join.near_duplicates(df, percent=80, links=links))
+        assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == dict(enumerate(brute_components(texts, percent=80)))
+        blocks = 89 * 45 * 8 // 1200
+        assert 0 < max(seen) < blocks * (blocks + 1) / 2 * 0.8
+        assert not links or [x["n_links"] for _, x in sorted(got.items())] == brute_links(texts, percent=80)
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (1, "a b c d e"), (7, None)]
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
