@@ -97,8 +97,8 @@ ln AS (SELECT doc_id, source, text, line FROM (SELECT doc_id, source, text, unne
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY 1),
 nl AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
        len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM ln),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
-often AS (SELECT source, h FROM (SELECT source, h, count(DISTINCT text) AS c FROM nl GROUP BY 1, 2) JOIN hosts USING (source) WHERE c > 10 AND c > 0.01 * docs),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1),
+often AS (SELECT source, h FROM (SELECT source, h, count(DISTINCT doc_id) AS c FROM nl GROUP BY 1, 2) JOIN hosts USING (source) WHERE c > 10 AND c > 0.01 * docs),
 gone AS (SELECT doc_id, sum(n) AS n FROM nl JOIN often USING (source, h) GROUP BY 1),
 base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
