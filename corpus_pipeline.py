@@ -1,6 +1,6 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes as Parquet to
+Each stage judges repeated rows alike, keeps null ids, and gives no rows for an empty table. Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes as Parquet to
 the shared checkpoint folder and rereads as the next stage's documents. All stages but the last
 return the columns of documents.
 """
@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsela.llm import decontamination, jaccard_join, language_id, packing, quality_model
-from sparsela.llm.exchange import written
+from sparsela.llm.exchange import release, written
 from sparsela.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language stay; a text without a letter goes."""
+    """Documents of a recognised language stay. Null and empty texts, texts without a letter and texts
+    unlike all learned languages (``language_id.score_limit``) go."""
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.5 or more stay."""
+    """Documents with a quality score of 0.5 or more stay; a null or empty text is judged as one empty
+    passage, and a score of exactly 0.5 stays."""
     return quality_model.keep_good(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -45,12 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, at 0.8 of its distinct five-word shingles exactly too.
+    Null and empty texts hold none; an empty benchmark takes nothing away."""
     return decontamination.drop_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens; a null or empty text is its end id alone, and
+    repeated rows are packed as often as they occur."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -61,11 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over all of documents."""
+    """Rows of the last stage over all of documents. Tables that the stages wrote are removed when the
+    next stage's is there; the last one stays, since the result reads it (``exchange.release``)."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            release(spark, docs)  # what the stages before have written
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,11 +28,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; where none is set (tests), one of our own."""
+    """The shared checkpoint folder of the cluster. Where none is set, a local master gets a folder of
+    its own; several machines have no folder in common then, which is an error."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
+        path = tempfile.mkdtemp()
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
