@@ -378,6 +378,183 @@ def test_language(spark, empty):
     assert {x["lang_pred"] for x in language_id.identify(df, none).collect()} == {"und"}
 
 
+def slow_gram_counts(t):
+    """Bytes as letters or blanks, 2- and 3-grams hashed one by one."""
+    b, x = (t or "").encode(), np.zeros(2 * language_id.BUCKETS)
+    fold = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b]
+    for i in range(1, len(b)):
+        if b[i - 1] == 0xC3 and 0x80 <= b[i] <= 0x9E and b[i] != 0x97:
+            fold[i] = b[i] + 32
+    for k, n in enumerate((2, 3)):
+        for i in range(len(fold) - n + 1):
+            g = fold[i : i + n]
+            if g[0] == 32 and g[-1] == 32:
+                continue
+            h = sum(c * m for c, m in zip(g, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))) % 2**32
+            h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32
+            x[k * language_id.BUCKETS + (h >> 21)] += 1
+        half = slice(k * language_id.BUCKETS, (k + 1) * language_id.BUCKETS)
+        x[half] /= max(x[half].sum(), 1)
+    return x
+
+
+def slow_language(m, t):
+    """The family of the largest margin, then votes of its pairs; ties to the larger sum, then the first."""
+    x = np.append(slow_gram_counts(t), 1)
+    sure = lambda v: 1 / (1 + np.exp(-3 * v))
+    if not any(c.isalpha() for c in t or ""):
+        return "und", 0.0
+    margin = [x @ w for w in m.family_w]
+    f = int(np.argmax(margin))
+    own = [g for g in m.langs if language_id.FAMILY_OF.get(g, g) == m.families[f]]
+    votes, sums = Counter(), Counter()
+    for (a, b), w in m.pairs.items():
+        if a in own:
+            v = x @ w
+            votes[a if v > 0 else b] += 1
+            sums[a] += v
+            sums[b] -= v
+    best = max(own, key=lambda g: (votes[g], sums[g]))
+    return best, sure(margin[f]) * (sure(sums[best] / (len(own) - 1)) if len(own) > 1 else 1)
+
+
+def test_language_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    pools = {"en": "the of and that with", "de": "der UND nicht Schön über", "nl": "het een van zijn ook", "fr": "le été où garçon avec", "es": "el niño que año está", "xx": "qzq zqx xqz"}
+    texts = [" ".join(r.choice(pools[g].split(), int(r.integers(1, 40)))) for g in pools for _ in range(25)]
+    texts += [None, "", "12 ÷ 7", "ÀÉÎ×ÞØ x", "日本語", " ".join(r.choice("the der le el".split(), 30_000))]
+    lang = [g for g in pools for _ in range(25)] + [None] * 6
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("id", "x", "h", "r", "rows")})
+    m = language_id.train(df)
+    got = by_id(language_id.identify(df, m))
+    for i, t in enumerate(texts):
+        g, s = slow_language(m, t)
+        assert got[i]["lang_pred"] == g and abs(got[i]["score"] - s) < 1e-4, t
+    assert language_id.keep_identified(df, m).columns == df.columns
+
+
+def test_svm_solves_its_problem():
+    """At the optimum of the dual: inside 0 and c the margin is 1, at 0 it is above, at c below."""
+    r = np.random.default_rng(1)
+    x = (r.random((120, 30)) * (r.random((120, 30)) < 0.3)).astype(np.float32)
+    y = np.where(x[:, :5].sum(1) > x[:, 5:10].sum(1), 1.0, -1.0)
+    rows = language_id.Rows(language_id.pack_rows(x))
+    assert (rows.dense(7, 50, 30) == x[7:50]).all()
+    w = language_id.linear_svm(rows, np.arange(120), y, 30, 2.0, epochs=400)
+    loss = lambda v: 0.5 * ((v[:-1] / 2) ** 2).sum() + 0.5 * v[-1] ** 2 + np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])).sum()
+    best = loss(w)
+    assert all(loss(w + d) > best - 1e-2 for d in r.normal(0, 0.05, (200, 31)))
+
+
+def test_sample_bounds_hold(spark, monkeypatch):
+    """Rows without an id, of one id, and of one id and text: never more than the documented number."""
+    size = []
+    monkeypatch.setattr(language_id, "fit", lambda x, lang: size.append(Counter(lang)))
+    one = spark.range(3000).selectExpr("cast(null as long) doc_id", "concat('the of ', id) text", "if(id % 3 = 0, 'en', 'de') lang")
+    same = spark.range(3000).selectExpr("7L doc_id", "'the of' text", "'en' lang")
+    for df in (one, one.selectExpr("7L doc_id", "text", "lang"), same):
+        language_id.train(df, max_rows=20, per_language=12)
+    language_id.train(one.selectExpr("doc_id", "text", "concat(lang, pmod(hash(text), 50)) lang"), max_rows=20, per_language=12)
+    assert [sum(c.values()) for c in size] == [20, 20, 1, 20] and all(max(c.values()) <= 12 for c in size)
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
+    docs = one.selectExpr("7L doc_id", "text")
+    assert toxicity.sample_of(docs, labels, "doc_id", "toxic", 10, "text").count() == 10
+    assert toxicity.sample_of(same, labels, "doc_id", "toxic", 10, "text").count() == 1
+
+
+def slow_toxic_features(t):
+    import xxhash
+
+    strip = toxicity._PUNCT.decode()
+    h = [xxhash.xxh64_intdigest((w.strip(strip) or w).encode()) for w in words(t, True)]
+    pair = lambda a, b, k: int(text.split64(np.array([(a * (0x9E3779B97F4A7C15 + 2 * k) + b) % 2**64], np.uint64))[0])
+    every = h + [pair(h[i], h[i + k], k) for k in (1, 2) for i in range(len(h) - k)]
+    return {x >> (64 - toxicity.BITS) for x in every}
+
+
+def slow_ftrl(rows, y, alpha=2.0, beta=1.0, l1=12.0, l2=1.0, epochs=10):
+    """The update of each coordinate as published, one number at a time."""
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+    weight = lambda z, n, l1: 0.0 if abs(z) <= l1 else -(z - np.sign(z) * l1) / ((beta + n**0.5) / alpha + l2)
+    for _ in range(epochs):
+        for x, t in zip(rows, y):
+            w, b = {i: weight(z[i], n[i], l1) for i in x}, weight(zb, nb, 0.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - t
+            for i in x:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    return {i: v for i in z if (v := weight(z[i], n[i], l1))}, weight(zb, nb, 0.0)
+
+
+def test_toxicity_against_brute_force(spark, texts):
+    every = [*texts, "Idiot! you (idiot) ... -- you", " ".join(["long", "Words,"] * 20_000)]
+    key, owner = toxicity.distinct(*toxicity.features(pa.array(every)))
+    for i, t in enumerate(every):
+        assert set(key[owner == i].tolist()) == slow_toxic_features(t)
+    r = np.random.default_rng(9)
+    y = (np.arange(200) % 3 == 0).astype(float)
+    rows = [np.unique(np.concatenate((r.integers(0, 500, 20), [777] if t else [778]))) for t in y]
+    w, bias = toxicity.ftrl(rows, y)
+    want, b = slow_ftrl([x.tolist() for x in rows], y)
+    assert set(np.flatnonzero(w).tolist()) == set(want) and want and abs(bias - b) < 1e-9 and all(abs(w[i] - v) < 1e-9 for i, v in want.items())
+    at = np.array(sorted(slow_toxic_features(every[0]) | slow_toxic_features("idiot")))
+    model = at, r.normal(size=len(at)), -0.3
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "score", "label", "h")})
+    got, have = by_id(toxicity.score(df, model)), dict(zip(at.tolist(), model[1].tolist()))
+    for i, t in enumerate(every):
+        s = 1 / (1 + np.exp(-(sum(have.get(k, 0.0) for k in slow_toxic_features(t)) - 0.3)))
+        assert abs(got[i]["score"] - s) < 1e-9 and got[i]["predicted"] == int(s >= 0.5)
+
+
+def slow_quality(m, t):
+    """Features of each passage by plain Python, gated attention passage by passage."""
+    t = t or ""
+    w, shape = words(t), []
+    grams = [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
+    many = Counter(grams)
+    at, spans = 0, []
+    b = t.encode()
+    for x in w:  # byte offsets
+        at = b.index(x.encode(), at)
+        spans.append(at)
+        at += len(x.encode())
+    for k in range(max(1, -(-len(w) // quality_model.PASSAGE_WORDS))):
+        lo, hi = k * quality_model.PASSAGE_WORDS, min(len(w), (k + 1) * quality_model.PASSAGE_WORDS)
+        x = np.zeros(quality_model.DIM)
+        if hi > lo:
+            body = b[spans[lo] : spans[hi] if hi < len(w) else len(b)]
+            n, h = max(len(body), 1), quality_model.HIST
+            for c in body:
+                x[c >> 2] += 1 / n
+            kinds = [b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b"\n"]
+            x[h : h + 5] = [sum(c in kind for c in body) / n for kind in kinds]
+            own = grams[lo : min(hi, len(grams))]
+            x[h + 5 : h + 11] = [n / (hi - lo) / 10, np.log1p(hi - lo) / 5, np.log1p(len(w)) / 10, len(set(w[lo:hi])) / (hi - lo), sum(many[g] > 1 for g in own) / max(len(own), 1), sum(many[g] > 1 for g in grams) / max(len(grams), 1)]
+        else:
+            x[-1] = 1
+        shape.append(x)
+    p, sig = m.p, lambda v: 1 / (1 + np.exp(-v))
+    hid = [np.tanh(np.clip((x - m.mean) / m.std, -8, 8) @ p["E"] + p["e"]) for x in shape]
+    a = np.array([(np.tanh(v @ p["V"]) * sig(v @ p["U"])) @ p["a"] for v in hid])
+    a = np.exp(a - a.max())
+    return sig(sum(k * v for k, v in zip(a / a.sum(), hid)) @ p["w"] + p["b"][0]), len(shape)
+
+
+def test_quality_against_brute_force(spark, texts):
+    r = np.random.default_rng(2)
+    every = [*[t for t in texts if t is None or "\xa0" not in t], " ".join(r.choice(["Alpha", "be###ta", "42", "gam\nma!", "é"], 3000))]
+    m = quality_model.Model(r.random(quality_model.DIM) / 10, r.random(quality_model.DIM) + 0.1)
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "label", "x", "score", "h")})
+    got = by_id(quality_model.score(df, m))
+    for i, t in enumerate(every):
+        s, n = slow_quality(m, t)
+        assert got[i]["n_passages"] == n and abs(got[i]["score"] - s) < 1e-4, t
+    kept = quality_model.keep_good(df, m, least=0.5)
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if x["score"] >= 0.5} and kept.columns == df.columns
+
+
 def labelled(spark, bad, good, label):
     r = np.random.default_rng(4)
     rows, labels = [], []
