@@ -48,9 +48,13 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     if a.command == "train":
         img = spark.read.parquet(a.input)
-        h, w = img.select(F.size("pix"), F.size(F.element_at("pix", 1))).first()
-        flat = zero_phase_whiten(img.select("image_id", F.flatten("pix").alias("x")), (h, w), a.f0)
-        df = sample_patches(flat.select("image_id", A.reshape("x", w).alias("pix")), a.patch, a.patch, a.patches, a.seed)
+        df = None
+        for h, w in sorted(tuple(r) for r in img.select(F.size("pix"), F.size(F.element_at("pix", 1))).distinct().collect()):  # images of each size apart
+            own = img.where((F.size("pix") == h) & (F.size(F.element_at("pix", 1)) == w))
+            flat = zero_phase_whiten(own.select("image_id", F.flatten("pix").alias("x")), (h, w), a.f0)
+            part = flat.select("image_id", A.reshape("x", w).alias("pix"))
+            df = part if df is None else df.unionAll(part)
+        df = sample_patches(df, a.patch, a.patch, a.patches, a.seed)
         df = df.select(F.xxhash64("image_id", "i", "j").alias("sample_id"), "x")
     elif a.command == "train-patches":
         df = spark.read.parquet(a.input).withColumn("x", A.center(A.doubles("x")))

@@ -17,30 +17,51 @@ from ..functions import arrays as A
 from .encode import BATCH_ROWS, matrix_of, normalize_atoms
 
 
+#: Partial sums that meet on the driver; those of more partitions are added in as many tasks first.
+WIDTH = 16
+
+
+def _packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([list(v.shape) for v in sums.values()], pa.list_(pa.int64())), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["name", "shape", "v"])
+
+
+def _add(got: dict[str, np.ndarray], name: str, v: np.ndarray) -> None:
+    got[name] = got[name] + v if name in got else v
+
+
+def _unpack(got: dict[str, np.ndarray], names, shapes, blobs) -> dict[str, np.ndarray]:
+    for k, shape, v in zip(names, shapes, blobs):
+        _add(got, k, np.frombuffer(v).reshape(shape))
+    return got
+
+
 def summed(df: DataFrame, columns: list[str], part) -> dict[str, np.ndarray]:
-    """Sums over all batches of the arrays that ``part(*matrices)`` gives by name."""
+    """Sums over all batches of the arrays that ``part(*matrices)`` gives by name.
+
+    A partition gives one packed array for each name. They are added in ``WIDTH`` tasks, one array at a
+    time, so the driver gets WIDTH arrays of each name whatever the number of partitions."""
 
     def run(batches):
         got: dict[str, np.ndarray] = {}
         for b in batches:
             for i in range(0, b.num_rows, BATCH_ROWS):
                 for k, v in part(*(matrix_of(c) for c in b.slice(i, BATCH_ROWS).columns)).items():
-                    got[k] = got[k] + v if k in got else np.asarray(v, float)
-        for k, v in got.items():
-            v = np.atleast_2d(v)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array([r.tolist() for r in v], pa.list_(pa.float64()))], ["name", "i", "v"])
-
-    parts = df.select(*(A.doubles(c) for c in columns)).mapInArrow(run, "name string, i int, v array<double>")
-    # one row per element of the sums, whatever the number of signals
-    each = parts.select("name", "i", F.posexplode("v").alias("j", "v")).groupBy("name", "i", "j").agg(F.sum("v").alias("v"))
-    t = each.toArrow()
-    names, (i, j, v) = np.array(t["name"].to_pylist(), object), (t[c].to_numpy() for c in ("i", "j", "v"))
-    out = {}
-    for k in set(names):
-        at = names == k
-        out[k] = np.zeros((i[at].max() + 1, j[at].max() + 1))
-        out[k][i[at], j[at]] = v[at]
-    return out
+                    _add(got, k, np.atleast_2d(np.asarray(v, float)))
+        if got:
+            yield _packed(got)
+
+    def add(batches):
+        got: dict[str, np.ndarray] = {}
+        for b in batches:
+            _unpack(got, *(b.column(k).to_pylist() for k in range(3)))
+        if got:
+            yield _packed(got)
+
+    schema = "name string, shape array<long>, v binary"
+    parts = df.select(*(A.doubles(c) for c in columns)).mapInArrow(run, schema)
+    known = df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()  # 0: not known
+    t = (parts if 0 < known <= WIDTH else parts.repartition(WIDTH).mapInArrow(add, schema)).toArrow()
+    return _unpack({}, *(t[c].to_pylist() for c in ("name", "shape", "v")))
 
 
 @dataclass
@@ -60,13 +81,15 @@ class Stats:
         return float(self.energy - 2 * (self.cross * d).sum() + ((self.gram @ d) * d).sum())
 
 
-def statistics(df: DataFrame, x: str = "x", a: str = "a", threshold: float = 1e-6, penalty=None) -> Stats:
-    """All sums in one job; ``penalty`` adds the sum of its values."""
+def statistics(df: DataFrame, x: str = "x", a: str | None = "a", threshold: float = 1e-6, penalty=None, solve=None) -> Stats:
+    """All sums in one job; ``penalty`` adds the sum of its values. With ``solve(signals)``, which gives
+    the codes, there is no column of codes: they are made and summed in one step and never leave the worker."""
 
-    def part(xs, cs):
+    def part(xs, cs=None):
+        cs = solve(xs) if cs is None else cs
         return {"penalty": [penalty.np_value(cs).sum() if penalty else 0.0], "gram": cs.T @ cs, "cross": cs.T @ xs, "n": [len(xs)], "energy": [(xs * xs).sum()], "usage": (cs * cs).sum(0), "active": (np.abs(cs) > threshold).sum(0)}
 
-    s = summed(df, [x, a], part)
+    s = summed(df, [x] if solve else [x, a], part)
     return Stats(s["gram"], s["cross"], float(s["n"][0, 0]), float(s["energy"][0, 0]), s["usage"][0], s["active"][0], float(s["penalty"][0, 0]))
 
 

@@ -83,6 +83,13 @@ def encode(df: DataFrame, atoms, penalty: Penalty | None = None, solver: str = "
     return src.mapInArrow(run, T.StructType([*src.schema.fields[1:], *RESULT]))
 
 
+def coder(atoms, penalty: Penalty, solver: str = "auto", **params):
+    """Function from a matrix of signals to their codes, for use in the workers."""
+    d = atoms_of(atoms)
+    solve = solvers.get_solver(solvers.auto_solver(penalty) if solver == "auto" else solver)
+    return lambda xs: solve(xs, d, penalty, **params).a
+
+
 def somp(df: DataFrame, atoms, n_atoms: int, id_col: str = "sample_id", x: str = "x", criterion: str = "max") -> DataFrame:
     """Simultaneous OMP: one support for all signals. Each step is one aggregate over the data:
     the largest (``max``) or summed (``sum``) absolute correlation of each atom with the residuals."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.penalties import L1, Penalty, create_penalty
+from ..session import checkpoint_dir
 from . import dictionary as D
-from .encode import decode, encode, heuristic_lambda, normalize_atoms
+from .encode import coder, decode, encode, heuristic_lambda, normalize_atoms
 
 
 def initial_atoms(df: DataFrame, n_atoms: int, seed: int = 0, x: str = "x", id_col: str = "sample_id", how: str = "samples") -> np.ndarray:
@@ -84,11 +86,16 @@ class DictionaryLearner:
         for step in range(self.n_steps):
             began = time.time()
             pen = self._penalty(lam)
-            codes = encode(df, d, pen, self.solver, id_col, x, keep=(x,), **self.solver_params)
-            s = D.statistics(codes, x, penalty=pen)
+            if self.update == "ksvd":  # a sweep reads the codes once for each atom
+                codes = encode(df, d, pen, self.solver, id_col, x, keep=(x,), **self.solver_params).persist()
+                s = D.statistics(codes, x, penalty=pen)
+                new, _ = D.ksvd(codes, d, x)
+                codes.unpersist()
+            else:
+                s = D.statistics(df, x, penalty=pen, solve=coder(d, pen, self.solver, **self.solver_params))
             obj = 0.5 * s.loss(d) + s.penalty
             if self.update == "ksvd":
-                new, _ = D.ksvd(codes, d, x)
+                pass
             elif self.update == "gradient":
                 new = grad.step(s, d)
             elif self.update == "online":
@@ -137,7 +144,7 @@ class DictionaryLearner:
 
     def score(self, df: DataFrame, x: str = "x") -> float:
         """Minus the mean squared reconstruction error."""
-        s = D.statistics(self.encode(df, x=x, keep=(x,)), x)
+        s = D.statistics(df, x, solve=coder(self._fitted(), self._penalty(getattr(self, "lam_", 0.1)), self.solver, **self.solver_params))
         return -s.loss(self._fitted()) / (s.n * self._fitted().shape[1])
 
     def reset(self) -> None:
@@ -184,7 +191,7 @@ class OnlineDictionaryLearner:
     def partial_fit(self, df: DataFrame, id_col: str = "sample_id", x: str = "x") -> OnlineDictionaryLearner:
         if self.atoms is None:
             self.atoms = initial_atoms(df, self.n_atoms, self.seed, x, id_col)
-        s = D.statistics(encode(df, self.atoms, self.penalty, "auto", id_col, x, keep=(x,)), x)
+        s = D.statistics(df, x, solve=coder(self.atoms, self.penalty))
         st, f = self.stats, self.smoothing
         share = s.active / max(s.n, 1)
         now = {"mse": s.loss(self.atoms) / (s.n * self.atoms.shape[1]), "active_share": float(share.mean())}
@@ -207,14 +214,20 @@ class OnlineDictionaryLearner:
         return self
 
     def fit(self, df: DataFrame, id_col: str = "sample_id", x: str = "x") -> OnlineDictionaryLearner:
-        """Passes over mini-batches, dealt by hash: batch sizes are ``batch_size`` on average."""
-        n = max(1, round(df.count() / self.batch_size))
+        """Passes over mini-batches, dealt by hash: batch sizes are ``batch_size`` on average. A pass
+        writes its signals once, a folder for each batch, so that a batch reads its own rows alone."""
+        spark, n = df.sparkSession, max(1, round(df.count() / self.batch_size))
         for p in range(self.n_passes):
-            key = F.pmod(F.xxhash64(F.lit(self.seed + p), id_col), F.lit(n))
+            dealt = df.select(id_col, x).withColumn("_batch", F.pmod(F.xxhash64(F.lit(self.seed + p), id_col), F.lit(n)).cast("int"))
+            path = f"{checkpoint_dir(spark)}/sparsela-{uuid.uuid4().hex}"
+            dealt.repartition("_batch").write.partitionBy("_batch").parquet(path)
+            table = spark.read.schema(dealt.schema).parquet(path)
             for k in range(n):
-                batch = df.where(key == k)
+                batch = table.where(F.col("_batch") == k)
                 if not batch.isEmpty():
                     self.partial_fit(batch, id_col, x)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         return self
 
     def encode(self, df: DataFrame, **kw) -> DataFrame:

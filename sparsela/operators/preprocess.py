@@ -48,14 +48,14 @@ def take(df: DataFrame, ids: list[int], id_col: str = "sample_id") -> DataFrame:
 
 
 def align(*tables: DataFrame, id_col: str = "sample_id", strict: bool = True) -> DataFrame:
-    """Tables joined by id. strict: unequal counts raise; otherwise ids below the smallest count stay."""
-    counts = [t.count() for t in tables]
-    if strict and len(set(counts)) > 1:
+    """Tables joined by id. strict: unequal counts raise; otherwise the ids that all tables have stay,
+    whatever gaps there are between them."""
+    if strict and len(set(counts := [t.count() for t in tables])) > 1:
         raise ValueError(f"tables have different numbers of samples: {counts}")
     out = tables[0]
     for t in tables[1:]:
         out = out.join(t, id_col)
-    return out if strict else out.where(F.col(id_col) < min(counts))
+    return out
 
 
 def stack(*tables: DataFrame, x: str = "x") -> DataFrame:

@@ -155,6 +155,37 @@ def _refit(g, c, support):
     return np.linalg.lstsq(g[np.ix_(s, s)], c[s], rcond=None)[0]
 
 
+def _one_by_one(g, c, norms, m: int, tol: float, weak: float | None):
+    """Pursuits that take an atom a step: all signals take the step together, and the equations of
+    their supports, which have one size, are solved as a stack."""
+    n, k = c.shape
+    a, it, done = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros(n, bool)
+    live, support = np.arange(n), np.empty((n, 0), np.int64)
+    for _ in range(m):
+        corr = np.abs(c[live] - a[live] @ g) / norms
+        np.put_along_axis(corr, support, -1, axis=1)
+        top = corr.max(1)
+        stay = top > tol
+        done[live[~stay]] = True
+        live, support, corr, top = live[stay], support[stay], corr[stay], top[stay]
+        if not len(live):
+            break
+        new = corr.argmax(1) if weak is None else (corr >= weak * top[:, None]).argmax(1)
+        support = np.hstack((support, new[:, None]))
+        lhs, rhs = g[support[:, :, None], support[:, None, :]], np.take_along_axis(c[live], support, 1)
+        try:
+            coef = np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            coef = np.full_like(rhs, np.inf)
+        bad = ~np.isfinite(coef).all(1) | (np.abs(coef).max(1) > 1e8 * (1 + np.abs(rhs).max(1)))
+        if bad.any():  # atoms that depend on each other
+            coef[bad] = (np.linalg.pinv(lhs[bad], hermitian=True) @ rhs[bad][:, :, None])[:, :, 0]
+        a[live[:, None], support] = coef
+        it[live] += 1
+    done[live] = True
+    return a, it, done
+
+
 def omp(x, d, pen: Penalty | None = None, n_atoms: int | None = None, tol: float = 1e-10, variant: str = "standard", weak: float = 0.5, **_) -> Codes:
     """Orthogonal matching pursuit. Of equal correlations the lowest atom is taken.
 
@@ -167,6 +198,9 @@ def omp(x, d, pen: Penalty | None = None, n_atoms: int | None = None, tol: float
     m = min(n_atoms or max(1, min(k // 4, 50)), k)
     norms = np.maximum(np.sqrt((d * d).sum(1)), 1e-12)
     g, c = d @ d.T, x @ d.T
+    if variant in ("standard", "weak"):
+        a, it, done = _one_by_one(g, c, norms, m, tol, weak if variant == "weak" else None)
+        return _result(x, d, pen or L1(0.0), a, it, done, "support")
     a, it, done = np.zeros((len(x), k)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
     for i in range(len(x)):
         support: list[int] = []
@@ -178,9 +212,7 @@ def omp(x, d, pen: Penalty | None = None, n_atoms: int | None = None, tol: float
             if top <= tol:
                 done[i] = True
                 break
-            if variant == "weak":
-                new = [int(np.flatnonzero(corr >= weak * top)[0])]
-            elif variant == "stagewise":
+            if variant == "stagewise":
                 new = np.flatnonzero(corr >= weak * top).tolist()
             elif variant == "regularized":
                 rank = np.argsort(-corr, kind="stable")[: m - len(support)]
@@ -188,7 +220,7 @@ def omp(x, d, pen: Penalty | None = None, n_atoms: int | None = None, tol: float
                 runs = [rank[(corr[rank] <= corr[r]) & (corr[rank] >= corr[r] / 2)] for r in rank]
                 new = max(runs, key=lambda r: (corr[r] ** 2).sum()).tolist()
             else:
-                new = [int(corr.argmax())]
+                raise ValueError(f"unknown variant {variant!r}")
             support += new[: m - len(support)]
             coef = _refit(g, c[i], support)
             it[i] += 1

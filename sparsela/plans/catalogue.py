@@ -181,12 +181,16 @@ def spectral_bound_gershgorin(s, d):
     return s.range(1).select(r6(A.gershgorin(A.matrix(a @ a.T))).alias("bound"))
 
 
-@query("spectral_norm_power", "SELECT true AS agrees")
+_power_sql = f"""{PRE}, pw AS (SELECT 0 AS i, list_transform(range(8), lambda q: 1.0::DOUBLE + 0.1 * q) AS v FROM g
+UNION ALL SELECT i + 1, list_transform(list_transform(g, lambda r: list_dot_product(r, v)), lambda z: z / sqrt(list_dot_product(list_transform(g, lambda r: list_dot_product(r, v)), list_transform(g, lambda r: list_dot_product(r, v))))) FROM pw, g WHERE i < 2000)
+SELECT {s6('sqrt(list_dot_product(list_transform(g, lambda r: list_dot_product(r, v)), list_transform(g, lambda r: list_dot_product(r, v))))')} AS norm FROM pw, g WHERE i = 2000"""
+
+
+@query("spectral_norm_power", _power_sql)
 def spectral_norm_power(s, d):
-    from ..operators.solvers import lipschitz, power_iteration
+    from ..operators.solvers import power_iteration
 
-    a = atoms(s, d)
-    return s.createDataFrame([(bool(abs(power_iteration(a, 2000, 1e-14) - lipschitz(a)) < 1e-5),)], "agrees boolean")
+    return s.createDataFrame([(round(float(power_iteration(atoms(s, d), 2000, 1e-14)), 6),)], "norm double")
 
 
 @query("matmul_outer_trace", f"{PRE} SELECT sample_id, {s6('list_dot_product(a, a)')} AS trace FROM codes")
@@ -350,6 +354,15 @@ def encode_ncg_gradient(s, d):
     return c.agg(F.count("*").alias("n"), F.count_if(A.norm(g) > 1e-5).alias("violations"))
 
 
+@query("encode_log_prior_gradient", _kkt_sql)
+def encode_log_prior_gradient(s, d):
+    """The same for the solver of the log prior by name."""
+    a, pen = atoms(s, d), P.Cauchy(0.05)
+    c = E.decode(E.encode(sig(s, d), a, pen, "log_prior", keep=("x",), max_iter=500, tol=1e-8, lam=0.05), a)
+    g = A.subtract(pen.grad("a"), E.correlations(A.subtract("x", "x_hat"), a))
+    return c.agg(F.count("*").alias("n"), F.count_if(A.norm(g) > 1e-5).alias("violations"))
+
+
 # ---- dictionary updates -------------------------------------------------------------------
 
 
@@ -380,34 +393,63 @@ def gradient_update_step(s, d):
     return _matrix_table(s, D.GradientUpdate(rate=0.5).step(D.statistics(codes(s, d)), atoms(s, d)))
 
 
-@query("mod_normal_residual", "SELECT true AS holds")
+#: A'A and A'X as lists of rows, and a table of a list of atoms.
+_lists_sql = """, ev AS (SELECT sample_id, unnest(range(64)) AS j, unnest(x) AS v FROM s),
+gm AS (SELECT list(r ORDER BY i) AS gm FROM (SELECT i, list(w ORDER BY m) AS r FROM (SELECT p.atom_id AS i, q.atom_id AS m, sum(p.coef * q.coef) AS w FROM lng p JOIN lng q USING (sample_id) GROUP BY ALL) GROUP BY 1)),
+cm AS (SELECT list(r ORDER BY i) AS cm FROM (SELECT i, list(w ORDER BY j) AS r FROM (SELECT atom_id AS i, j, sum(coef * v) AS w FROM lng JOIN ev USING (sample_id) GROUP BY ALL) GROUP BY 1))"""
+_atoms_sql = f"SELECT i, unnest(range(64)) AS j, unnest(list_transform(r, lambda v: {s6('v')})) AS value FROM (SELECT unnest(range(8)) AS i, unnest(fin) AS r FROM fin)"
+_unit = lambda r: f"list_transform({r}, lambda z: z / (sqrt(list_dot_product({r}, {r})) + 1e-12))"
+#: Gauss-Jordan elimination of (A'A + ridge | A'X), a row at a time.
+_solve_sql = f"""{PRE}{_lists_sql}, el AS (SELECT 1 AS k, list_transform(gm, lambda r, i: list_concat(list_transform(r, lambda v, j: v + CASE WHEN i = j THEN 1e-6 ELSE 0 END), cm[i])) AS m FROM gm, cm
+UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= 8),
+fin AS (SELECT list_transform(m, lambda r: {_unit("r[9:72]")}) AS fin FROM el WHERE k = 9) {_atoms_sql}"""
+
+
+@query("mod_normal_residual", _solve_sql)
 def mod_normal_residual(s, d):
-    """The unnormalised solution solves (A'A + ridge I) D = A'X; normalised atoms have unit norm."""
-    st = D.statistics(codes(s, d))
-    m = D.mod(st)
-    g = st.gram + 1e-6 * np.eye(K)
-    x = np.linalg.solve(g, st.cross)
-    ok = np.allclose(g @ x, st.cross) and np.allclose(np.linalg.norm(m, axis=1), 1) and np.allclose(E.normalize_atoms(x), m)
-    return s.createDataFrame([(bool(ok),)], "holds boolean")
+    """Atoms of the optimal directions: the normalised solution of (A'A + ridge I) D = A'X."""
+    return _matrix_table(s, D.mod(D.statistics(codes(s, d))))
 
 
-for _name, _f in (("block_coordinate_step", lambda st, a: D.block_coordinate(st, a)), ("online_update_step", lambda st, a: D.OnlineUpdate().step(st, a))):
+_residual = "list_transform(dd[k], lambda v, j: v + (cm[k][j] - list_sum(list_transform(dd, lambda q, m: gm[k][m] * q[j]))) / gm[k][k])"
+_block_sql = f"""{PRE}{_lists_sql}, bc AS (SELECT 1 AS k, ds AS dd FROM dl
+UNION ALL SELECT k + 1, list_transform(dd, lambda q, i: CASE WHEN i = k THEN {_unit('nw')} ELSE q END) FROM (SELECT k, dd, {_residual} AS nw FROM bc, gm, cm WHERE k <= 8)),
+fin AS (SELECT dd AS fin FROM bc WHERE k = 9) {_atoms_sql}"""
 
-    def _descends(s, d, f=_f):
-        st, a = D.statistics(codes(s, d)), atoms(s, d)
-        return s.createDataFrame([(bool(st.loss(f(st, a)) <= st.loss(a) + 1e-9),)], "descends boolean")
 
-    query(_name, "SELECT true AS descends")(_descends)
+@query("block_coordinate_step", _block_sql)
+def block_coordinate_step(s, d):
+    return _matrix_table(s, D.block_coordinate(D.statistics(codes(s, d)), atoms(s, d)))
 
 
-@query("ksvd_sweep", "SELECT true AS descends")
+@query("online_update_step", _block_sql)
+def online_update_step(s, d):
+    """The first step of the averages is a pass over the sums of the first batch, which their scale does not change."""
+    return _matrix_table(s, D.OnlineUpdate().step(D.statistics(codes(s, d)), atoms(s, d)))
+
+
+def _sweep_sql() -> str:
+    """A step for each atom: residuals of the signals that use it plus its part, their sum weighted by the
+    codes is the new atom, and their products with it are the new codes."""
+    sql = f"{PRE}, k0 AS (SELECT sample_id, a, list_transform(x, lambda v, j: v - list_sum(list_transform(ds, lambda d, k: d[j] * a[k]))) AS r FROM codes, dl)"
+    for k in range(1, K + 1):
+        sql += f""", e{k} AS MATERIALIZED (SELECT sample_id, a, r, abs(a[{k}]) > 1e-12 AS use, list_transform(r, lambda v, j: v + a[{k}] * ds[{k}][j]) AS e FROM k{k - 1}, dl),
+u{k} AS (SELECT list(v ORDER BY j) AS u FROM (SELECT j, sum(c * v) AS v FROM (SELECT a[{k}] AS c, unnest(range(64)) AS j, unnest(e) AS v FROM e{k} WHERE use) GROUP BY 1)),
+d{k} AS MATERIALIZED (SELECT list_transform(u, lambda v: v / sqrt(list_dot_product(u, u))) AS d FROM u{k}),
+k{k} AS MATERIALIZED (SELECT sample_id, CASE WHEN use THEN list_transform(a, lambda v, i: CASE WHEN i = {k} THEN list_dot_product(e, d) ELSE v END) ELSE a END AS a, CASE WHEN use THEN list_transform(e, lambda v, j: v - list_dot_product(e, d) * d[j]) ELSE r END AS r FROM e{k}, d{k})"""
+    return sql + f", fin AS (SELECT [{', '.join(f'(SELECT d FROM d{k})' for k in range(1, K + 1))}] AS fin) {_atoms_sql}"
+
+
+@query("ksvd_sweep", _sweep_sql())
 def ksvd_sweep(s, d):
-    """A sweep does not raise the loss of the updated codes."""
-    a = atoms(s, d)
-    df = codes(s, d).select("sample_id", "x", "a")
-    new, out = D.ksvd(df, a)
-    before, after = D.statistics(df).loss(a), D.statistics(out).loss(new)
-    return s.createDataFrame([(bool(after <= before + 1e-9),)], "descends boolean")
+    """Atoms after a sweep with one power step an atom."""
+    return _matrix_table(s, D.ksvd(codes(s, d).select("sample_id", "x", "a"), atoms(s, d), approximate=True)[0])
+
+
+@query("ksvd_sweep_codes", _sweep_sql().split(", fin AS")[0] + f" SELECT sample_id, {s6('list_sum(a)')} AS total, {s6('list_sum(list_transform(a, lambda v, i: v * i))')} AS moment, {s6('list_max(list_transform(a, lambda v: abs(v)))')} AS peak FROM k{K}")
+def ksvd_sweep_codes(s, d):
+    """Codes after the sweep."""
+    return digest(D.ksvd(codes(s, d).select("sample_id", "x", "a"), atoms(s, d), approximate=True)[1], F.col("a"))
 
 
 @query("atom_usage", f"{PRE} SELECT atom_id, count(*) FILTER (abs(coef) > 1e-6) AS n_active, {s6('sqrt(avg(coef * coef) + 1e-12)')} AS energy FROM lng GROUP BY 1")
@@ -664,11 +706,19 @@ def whitening_filter(s, d):
     return s.createDataFrame([(i, j, round(float(v), 6)) for (i, j), v in np.ndenumerate(m)], "i long, j long, response double")
 
 
-@query("zero_phase_whiten", "SELECT count(*) AS n, 0::BIGINT AS wrong FROM embeddings")
+_freq = "(CASE WHEN {0} < 4 THEN {0} ELSE {0} - 8 END)"
+#: The filter as a kernel of a circular convolution: the inverse transform of a response that is even.
+_whiten_sql = f"""{PRE}, fr AS (SELECT u, v, sqrt(pow({_freq.format('u')}, 2) + pow({_freq.format('v')}, 2)) AS r FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v)),
+kr AS (SELECT p, q, sum(r * exp(-pow(r / 200.0, 4)) * cos(2 * pi() * (u * p + v * q) / 8)) / 64 AS h FROM fr, (SELECT unnest(range(8)) AS p), (SELECT unnest(range(8)) AS q) GROUP BY ALL),
+mx AS (SELECT list(w ORDER BY o) AS mx FROM (SELECT o, list(h ORDER BY i) AS w FROM (SELECT unnest(range(64)) AS o), (SELECT unnest(range(64)) AS i), kr WHERE p = (o // 8 - i // 8 + 8) % 8 AND q = (o % 8 - i % 8 + 8) % 8 GROUP BY 1)),
+fl AS (SELECT sample_id, list_transform(mx, lambda w: list_dot_product(w, x)) AS y FROM s, mx),
+ce AS (SELECT sample_id, list_transform(y, lambda v: v - list_sum(y) / 64) AS y FROM fl)"""
+
+
+@query("zero_phase_whiten", _whiten_sql + f" SELECT sample_id, {s6('list_sum(list_transform(y, lambda v, i: v * i)) / sqrt(list_dot_product(y, y) / 64)')} AS moment, {s6('list_max(list_transform(y, lambda v: abs(v))) / sqrt(list_dot_product(y, y) / 64)')} AS peak, {s6('list_sum(list_transform(y, lambda v: v * v)) / (list_dot_product(y, y) / 64)')} AS power FROM ce")
 def zero_phase_whiten(s, d):
     w = preprocess.zero_phase_whiten(sig(s, d).select("sample_id", "x"), (8, 8))
-    wrong = (F.abs(A.mean("x")) > 1e-9) | (F.abs(A.dot("x", "x") / 64 - 1) > 1e-9)
-    return w.agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
+    return digest(w, F.col("x")).drop("total").join(w.select("sample_id", r6(A.dot("x", "x")).alias("power")), "sample_id")
 
 
 @query("atom_minmax", f"{PRE}, m AS (SELECT k, list_transform(d, lambda v: (v - list_min(d)) / (list_max(d) - list_min(d))) AS r FROM atm) SELECT k AS atom_id, {s6('list_sum(r)')} AS total, {s6('list_sum(r[1:8])')} AS first_row FROM m")

@@ -57,3 +57,10 @@ def atlas_text(atlas: DataFrame, top: int = 10) -> str:
     """The first features of an atlas as lines of text."""
     rows = atlas.where(F.col("rank") <= top).orderBy("rank").collect()
     return "\n".join(f"{r['rank']:>3}. atom {r['atom_id']}: active in {r['frequency']:.1%}, largest {r['max_abs']:.4g}, selectivity {r['selectivity']:.3f}, samples {r['top_samples']}" for r in rows)
+
+
+def report(codes: DataFrame, atoms: DataFrame, width: int, x: str | None = None, x_hat: str | None = None) -> dict[str, DataFrame]:
+    """All tables behind the charts of a learned dictionary: atoms, sparsity and, where signals and their
+    reconstructions are columns of ``codes``, errors."""
+    out = {"mosaic": atom_mosaic(atoms, width), **sparsity_report(codes)}
+    return out | ({"errors": reconstruction_report(codes, x, x_hat)} if x and x_hat else {})

@@ -142,6 +142,15 @@ def export_sql(d, lam: float, x: str = "x") -> str:
     return f"transform(transform(array({rows}), d -> {dot}), c -> sign(c) * greatest(abs(c) - {float(lam)!r}D, 0D))"
 
 
+def deployment_package(spark: SparkSession, d, lam: float, path: str, card: dict | None = None, config: dict | None = None) -> None:
+    """Everything that encoding elsewhere needs, under ``path``: the model (``save_model``) and ``files``, a
+    table (name, content) of the encoder as a Spark SQL expression, the model card, and how to use them."""
+    save_model(spark, d, f"{path}/model", config)
+    usage = f"SELECT sample_id, <encoder.sql> AS a FROM signals  -- x: array<double> of {atoms_of(d).shape[1]} values"
+    files = [("encoder.sql", export_sql(d, lam)), ("card.json", json.dumps(card or {}, sort_keys=True)), ("usage.txt", usage)]
+    spark.createDataFrame(files, "name string, content string").coalesce(1).write.parquet(f"{path}/files")
+
+
 def images(spark: SparkSession, path: str, decode, glob: str = "*.{png,jpg,jpeg,bmp,tif,tiff,npy}") -> DataFrame:
     """images(image_id, h, w, pix) of the files under ``path``; ``decode`` (bytes -> 2-D array) is the
     caller's, as no image library is part of this package."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -97,22 +97,42 @@ class FeatureMetrics:
         return {"n": self.n, "mean": self.mean, "variance": var, "std": np.sqrt(var), "min": self.min, "max": self.max}
 
 
-def process_dataset(df: DataFrame, fn, batch_size: int, epochs: int = 1, shuffle: bool = False, drop_last: bool = False, id_col: str = "sample_id", seed: int = 0) -> dict:
+def batch_number(df: DataFrame, total: int, id_col: str) -> Column:
+    """Number 0 .. total - 1 of a row's batch by ranges of ids that hold about as many rows each,
+    whatever the ids are; null ids are in the first. One aggregate."""
+    at = [k / total for k in range(1, total)]
+    bounds = df.agg(F.percentile_approx(id_col, at, max(10_000, 20 * total))).first()[0] if at else None
+    if not bounds:
+        return F.lit(0)
+    over = F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: F.col(id_col) > b)
+    return F.coalesce(F.size(over), F.lit(0)) if len(bounds) else F.lit(0)
+
+
+def process_dataset(df: DataFrame, fn, batch_size: int, epochs: int = 1, shuffle: bool = False, drop_last: bool = False, id_col: str = "sample_id", seed: int = 0, on_error: str = "raise") -> dict:
     """``fn(batch)`` for batches of about ``batch_size`` rows, in order of id or dealt by hash; gives
-    the results and counts. drop_last leaves out the smaller last batch."""
+    the results and counts of what was really handed over.
+
+    Every row is in one batch of an epoch, whatever its id. Empty batches are not handed over.
+    drop_last leaves out the last batch where there is more than one. With ``on_error="count"`` a
+    batch whose fn raises is counted and the others go on."""
     import time
 
     n = df.count()
-    total = max(1, n // batch_size if drop_last else -(-n // batch_size))
-    results, began, seen = [], time.time(), 0
+    total = max(1, -(-n // batch_size))
+    results, began, seen, failed = [], time.time(), 0, 0
+    samples = 0
     for e in range(epochs):
-        if shuffle:
-            key = F.pmod(F.xxhash64(F.lit(seed + e), id_col), F.lit(total))
-        else:
-            key = F.floor(F.col(id_col) / batch_size)
-        for k in range(total):
-            batch = df.where(key == k)
-            results.append(fn(batch))
-            seen += 1
+        key = F.pmod(F.xxhash64(F.lit(seed + e), id_col), F.lit(total)).cast("int") if shuffle else batch_number(df, total, id_col)
+        dealt = df.withColumn("_batch", key)
+        rows = {r["_batch"]: r["n"] for r in dealt.groupBy("_batch").agg(F.count("*").alias("n")).collect()}  # a row for each batch
+        for k in sorted(rows)[: len(rows) - (drop_last and len(rows) > 1)]:
+            try:
+                results.append(fn(dealt.where(F.col("_batch") == k).drop("_batch")))
+            except Exception:
+                if on_error != "count":
+                    raise
+                failed += 1
+                continue
+            seen, samples = seen + 1, samples + rows[k]
     s = time.time() - began
-    return {"results": results, "batches": seen, "samples": n * epochs, "seconds": s, "throughput": n * epochs / max(s, 1e-9)}
+    return {"results": results, "batches": seen, "failed": failed, "samples": samples, "seconds": s, "throughput": samples / max(s, 1e-9)}
