@@ -260,10 +260,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None, judged_bytes: int = 20) -> DataFrame:
     """The rows of ``df``, all columns unchanged, whose language is not ``und`` and whose score is
-    ``least`` (default: the model's own limit) or more. Null texts, texts without a letter and texts
-    unlike all learned languages go. Repeated rows are judged alike. Narrow, no join."""
+    ``least`` (default: the model's own limit) or more; texts of under ``judged_bytes`` are too short for
+    a score and stay if they have a letter. Null texts, texts without a letter and texts unlike all learned
+    languages go. Repeated rows are judged alike. Narrow, no join."""
     at = df.columns.index(text_col)
     least = model.least if least is None else least
 
@@ -272,7 +273,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
             keep = []
             for _, data, offs in by_rows(b.column(at)):
                 lang, score = model.predict(gram_counts(data, offs))
-                keep.append(has_letter(data, offs) & (lang >= 0) & (score >= least))
+                keep.append(has_letter(data, offs) & (lang >= 0) & ((score >= least) | (np.diff(offs) < judged_bytes)))
             yield b.filter(pa.array(np.concatenate(keep)))
 
     return small_batches(df).mapInArrow(run, df.schema)

@@ -187,6 +187,31 @@ def test_chats_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_order_and_long_texts(spark):
+    """Equal turns go by role, then text, nulls first, however rows arrive; texts of megabytes come back whole."""
+    long = "</s> long \\ <| line\n" * 100_000
+    rows = [(1, 2, "user", "b"), (1, 2, "user", "a"), (1, 2, "assistant", "z"), (1, 2, None, "n"), (1, 2, "user", None), (1, None, "user", "first"), (1, 1, "user", long), (1, 2, "user", "a")]
+    want = [("user", "first"), ("user", long), ("", "n"), ("assistant", "z"), ("user", ""), ("user", "a"), ("user", "a"), ("user", "b")]
+    for order in (rows, rows[::-1]):
+        out = chat.format_chats(spark.createDataFrame(order, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+        assert len(out) == 1 and [tuple(t) for t in chat.parse(out[0]["formatted"])] == want and out[0]["n_turns"] == 8
+
+
+def test_benchmark_of_many_blocks(spark):
+    """Items dealt to forty blocks, with equal ids and texts among them: the same pairs as in one block."""
+    r = np.random.default_rng(6)
+    items = [(i % 70, " ".join(r.choice([f"b{k}" for k in range(500)], 12))) for i in range(80)]
+    items += [items[0], (None, items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    texts = [f"x y {items[3 * i][1]} z" for i in range(20)] + [" ".join(t for _, t in items[:30]), "none of them", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((d, i) for d, t in enumerate(texts) for i, b in items if len(shingles(t, 5) & shingles(b, 5)) >= np.ceil(0.8 * len(shingles(b, 5)) - 1e-9))
+    for block in (200_000, 24):
+        got = decontamination.find(df, bench, block_shingles=block)
+        assert Counter((x["doc_id"], x["item_id"]) for x in got.collect()) == want and sum(want.values()) > 50
+    assert {x["doc_id"] for x in decontamination.drop_matches(df, bench, block_shingles=24).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_decontamination(spark, docs, clash, empty, texts):
     items = [(0, texts[0]), (1, " ".join(words(texts[1])[10:40])), (2, None), (3, ""), (4, "TWO words"), (5, " ".join(words(texts[2])[:24] + ["zz"] * 6)), (6, "not there at all in them"), (6, texts[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -430,7 +455,10 @@ def test_language_against_brute_force(spark):
     for i, t in enumerate(texts):
         g, s = slow_language(m, t)
         assert got[i]["lang_pred"] == g and abs(got[i]["score"] - s) < 1e-4, t
-    assert language_id.keep_identified(df, m).columns == df.columns
+    for least in (None, 0.9):
+        stay = {i for i, t in enumerate(texts) if (v := slow_language(m, t))[0] != "und" and (v[1] >= (least or m.least) or len(t.encode()) < 20)}
+        kept = language_id.keep_identified(df, m, least=least)
+        assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == stay
 
 
 def test_svm_solves_its_problem():

@@ -78,7 +78,7 @@ def test_pipeline_against_brute_force(spark, sf, monkeypatch):
     m = language_id.train(docs)
     judged = [(*slow_language(m, r[1]), r) for r in rows]
     assert all(abs(s - m.least) > 1e-3 for _, s, _ in judged)
-    want = sorted((r for g, s, r in judged if g != "und" and s >= m.least), key=key)
+    want = sorted((r for g, s, r in judged if g != "und" and (s >= m.least or len(r[1].encode()) < 20)), key=key)
     assert got("language id", docs) == want and len(want) < len(rows) - 3
 
     df, labels = table(want), spark.read.parquet(f"{sf}/labels.parquet")
