@@ -24,10 +24,6 @@ def op3_decontamination(spark, sf_dir):
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
-    return op4_ngram_jaccard_links(spark, sf_dir).drop("n_links")
-
-
-def op4_ngram_jaccard_links(spark, sf_dir):
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
@@ -61,7 +57,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_decontamination, op4_ngram_jaccard_join, op4_ngram_jaccard_links, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_chat_formatting, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_language_id, op7_toxicity, op8_token_counts, op9_quality_classifier, op10_packing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
@@ -128,6 +124,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) GROUP BY 1, 2),
 e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.y), d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id""",
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.y), d.doc_id) AS component_id,
+  coalesce(any_value(l.n), 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id LEFT JOIN (SELECT x, count(*) FILTER (x <> y) AS n FROM e GROUP BY 1) l ON l.x = d.doc_id GROUP BY d.doc_id""",
 }
