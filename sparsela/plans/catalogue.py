@@ -309,10 +309,13 @@ def encode_gradient_step(s, d):
 def _kkt(s, d, solver, **kw):
     """Optimality of L1 codes: |D r| = lam with the sign of a where a is not 0, at most lam elsewhere."""
     lam, a = 0.05, atoms(s, d)
-    c = E.decode(E.encode(sig(s, d), a, P.L1(lam), solver, keep=("x",), max_iter=5000, tol=1e-12, **kw), a)
+    return _violations(E.decode(E.encode(sig(s, d), a, P.L1(lam), solver, keep=("x",), max_iter=5000, tol=1e-12, **kw), a), a, lam)
+
+
+def _violations(c, a, lam, *more):
     g = E.correlations(A.subtract("x", "x_hat"), a)
     wrong = F.exists(F.zip_with("a", g, lambda v, q: F.when(F.abs(v) > 1e-9, F.abs(q - lam * F.signum(v)) > 1e-6).otherwise(F.abs(q) > lam + 1e-6)), lambda b: b)
-    return c.agg(F.count("*").alias("n"), F.count_if(wrong).alias("violations"))
+    return c.agg(F.count("*").alias("n"), *more, F.count_if(wrong).alias("violations"))
 
 
 _kkt_sql = "SELECT count(*) AS n, 0::BIGINT AS violations FROM embeddings"
@@ -469,11 +472,18 @@ def homeostatic_gain(s, d):
     return s.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(g)], "atom_id long, gain double")
 
 
-@query("learn_dictionary_mod", "SELECT true AS descends, 3::BIGINT AS steps")
+#: Codes after STEPS steps from zero, one row for each code, in the place of ``lng``.
+_steps_sql = f""", it AS (SELECT sample_id, 0 AS k, list_transform(c, lambda v: 0.0::DOUBLE) AS a, c FROM c
+UNION ALL SELECT sample_id, k + 1, list_transform(list_transform(range(1, 9), lambda i: a[i] - 0.25 * (list_dot_product(g.g[i], a) - c[i])), lambda u: {shrink_sql("u", "0.25 * 0.05")}), c FROM it, g WHERE k < {STEPS}),
+lit AS (SELECT sample_id, unnest(range(8)) AS atom_id, unnest(a) AS coef FROM it WHERE k = {STEPS})"""
+
+
+@query("learn_dictionary_mod", _solve_sql.replace(f"{PRE}{_lists_sql}", f"{PRE}{_steps_sql}{_lists_sql.replace('lng', 'lit')}"))
 def learn_dictionary_mod(s, d):
-    m = DictionaryLearner(n_atoms=16, lam=0.05, n_steps=3, stop="none", replace_dead=False).fit(sig(s, d))
-    e = [h["objective"] if h["objective"] is not None else h["mse"] for h in m.history]
-    return s.createDataFrame([(bool(e[-1] < e[0]), len(e))], "descends boolean, steps long")
+    """Atoms that a learning step gives: the signals encoded, then the optimal directions of their codes."""
+    fixed = {"max_iter": STEPS, "tol": 0, "step": 0.25}
+    m = DictionaryLearner(n_atoms=K, lam=0.05, solver="ista", solver_params=fixed, n_steps=1, stop="none", replace_dead=False, atoms=atoms(s, d))
+    return _matrix_table(s, m.fit(sig(s, d).repartition(8)).atoms)
 
 
 # ---- metrics and analytics ----------------------------------------------------------------
@@ -664,9 +674,12 @@ def take_by_index(s, d):
     return preprocess.take(sig(s, d), [5, 3, 5, 400]).select(F.col("position").cast("long").alias("position"), "sample_id", r6(F.get("x", 0)).alias("first"))
 
 
-@query("random_batch", "SELECT 32::BIGINT AS n, 32::BIGINT AS distinct_n")
+@query("random_batch", f"{PRE} SELECT sample_id, {s6('list_sum(x)')} AS total, (SELECT least(32, count(*)) FROM s) AS of_32 FROM s")
 def random_batch(s, d):
-    return preprocess.random_batch(sig(s, d), 32, 7).agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("distinct_n"))
+    """A draw of as many rows as there are holds each once; one of 32 holds as many."""
+    df = sig(s, d)
+    some = preprocess.random_batch(df, 32, 7).agg(F.countDistinct("sample_id")).first()[0]
+    return preprocess.random_batch(df, df.count(), 7).select("sample_id", r6(A.total("x")).alias("total"), F.lit(some).alias("of_32"))
 
 
 @query("aligned_batches", f"{PRE} SELECT s.sample_id // 128 AS batch, count(*) AS n, {s6('sum(list_dot_product(x, x))')} AS energy FROM s GROUP BY 1")
@@ -766,10 +779,19 @@ def sae_loss(s, d):
     return s.createDataFrame([(round(v["reconstruction"], 6), round(v["sparsity"], 6))], "reconstruction double, sparsity double")
 
 
-@query("sae_train", "SELECT true AS descends")
+_adam_sql = f"""{PRE}{_sparse}, er AS (SELECT x, a, list_transform(x, lambda v, j: h[j] - v) AS e FROM zr),
+ba AS (SELECT x, a, e, list_transform(ds, lambda q, k: CASE WHEN a[k] > 0 THEN 2 * list_dot_product(e, q) / 64 + 0.001 / 8 ELSE 0.0 END) AS ga FROM er, dl),
+ea AS (SELECT x, e, unnest(range(8)) AS i, unnest(a) AS a, unnest(ga) AS ga FROM ba),
+gj AS (SELECT i, unnest(range(64)) AS j, unnest(list_transform(x, lambda v, j: ga * v + 2 * a * e[j] / 64)) AS v FROM ea),
+gs AS (SELECT i, j, sum(v) / (SELECT count(*) FROM s) AS q FROM gj GROUP BY ALL),
+de AS (SELECT k AS i, unnest(range(64)) AS j, unnest(d) AS w FROM atm)
+SELECT i, j, {s6('w - 0.01 * q / (abs(q) + 1e-8)')} AS value FROM de JOIN gs USING (i, j)"""
+
+
+@query("sae_train", _adam_sql)
 def sae_train(s, d):
-    m = SparseAutoencoder(16, seed=1).fit(sig(s, d), epochs=5, normalize_every=0)
-    return s.createDataFrame([(bool(m.history[-1]["loss"] < m.history[0]["loss"]),)], "descends boolean")
+    """Weights of the tied autoencoder after its first step, which is the rate times q / (|q| + 1e-8)."""
+    return _matrix_table(s, _sae(s, d).fit(sig(s, d), epochs=1, normalize_every=0).w)
 
 
 @query("sae_round_trip", digest_sql("list_transform(c, lambda v: greatest(v, 0.0))", "c"))
@@ -787,13 +809,14 @@ def nonlinear_decoder_train(s, d):
     return s.createDataFrame([(bool(m.history[-1] < m.history[0]),)], "descends boolean")
 
 
-@query("estimator_transform", "SELECT count(*) AS n, 8::BIGINT AS k FROM embeddings")
+@query("estimator_transform", "SELECT count(*) AS n, 8::BIGINT AS k, 0::BIGINT AS violations FROM embeddings")
 def estimator_transform(s, d):
+    """Codes of the fitted model are optimal for the atoms that it learned."""
     from ..operators.models import SparseCoderEstimator
 
     df = sig(s, d)
-    m = SparseCoderEstimator(n_atoms=8, n_steps=2, lam=0.05).fit(df)
-    return m.transform(df).agg(F.count("*").alias("n"), F.max(F.size("a")).cast("long").alias("k"))
+    m = SparseCoderEstimator(n_atoms=8, n_steps=2, lam=0.05, solver_params={"max_iter": 5000, "tol": 1e-12}).fit(df)
+    return _violations(m.inverse_transform(m.transform(df)), m.learner.atoms, 0.05, F.max(F.size("a")).cast("long").alias("k"))
 
 
 @query("online_learn_batches", "SELECT count(*) AS samples, 3::BIGINT AS batches FROM embeddings")
