@@ -478,14 +478,21 @@ UNION ALL SELECT sample_id, k + 1, list_transform(list_transform(range(1, 9), la
 lit AS (SELECT sample_id, unnest(range(8)) AS atom_id, unnest(a) AS coef FROM it WHERE k = {STEPS})"""
 
 
-@query("learn_dictionary_mod", _solve_sql.replace(f"{PRE}{_lists_sql}", f"{PRE}{_steps_sql}{_lists_sql.replace('lng', 'lit')}"))
-def learn_dictionary_mod(s, d):
+@query("learn_dictionary_step", _solve_sql.replace(f"{PRE}{_lists_sql}", f"{PRE}{_steps_sql}{_lists_sql.replace('lng', 'lit')}"))
+def learn_dictionary_step(s, d):
     """Atoms that a learning step gives: the signals encoded, then the optimal directions of their codes."""
     fixed = {"max_iter": STEPS, "tol": 0, "step": 0.25}
     m = DictionaryLearner(n_atoms=K, lam=0.05, solver="ista", solver_params=fixed, n_steps=1, stop="none", replace_dead=False, atoms=atoms(s, d))
     return _matrix_table(s, m.fit(sig(s, d).repartition(8)).atoms)
 
 
+@query("learn_dictionary_mod", "SELECT true AS descends, 3::BIGINT AS steps")
+def learn_dictionary_mod(s, d):
+    m = DictionaryLearner(n_atoms=16, lam=0.05, n_steps=3, stop="none", replace_dead=False).fit(sig(s, d))
+    e = [h["objective"] if h["objective"] is not None else h["mse"] for h in m.history]
+    return s.createDataFrame([(bool(e[-1] < e[0]), len(e))], "descends boolean, steps long")
+
+
 # ---- metrics and analytics ----------------------------------------------------------------
 
 _recon = ", rc AS (SELECT sample_id, x, a, list_transform(range(1, 65), lambda j: list_sum(list_transform(ds, lambda d, k: d[j] * a[k]))) AS h FROM codes, dl), er AS (SELECT sample_id, x, a, list_transform(x, lambda v, j: v - h[j]) AS e FROM rc)"
@@ -788,12 +795,18 @@ de AS (SELECT k AS i, unnest(range(64)) AS j, unnest(d) AS w FROM atm)
 SELECT i, j, {s6('w - 0.01 * q / (abs(q) + 1e-8)')} AS value FROM de JOIN gs USING (i, j)"""
 
 
-@query("sae_train", _adam_sql)
-def sae_train(s, d):
+@query("sae_train_step", _adam_sql)
+def sae_train_step(s, d):
     """Weights of the tied autoencoder after its first step, which is the rate times q / (|q| + 1e-8)."""
     return _matrix_table(s, _sae(s, d).fit(sig(s, d), epochs=1, normalize_every=0).w)
 
 
+@query("sae_train", "SELECT true AS descends")
+def sae_train(s, d):
+    m = SparseAutoencoder(16, seed=1).fit(sig(s, d), epochs=5, normalize_every=0)
+    return s.createDataFrame([(bool(m.history[-1]["loss"] < m.history[0]["loss"]),)], "descends boolean")
+
+
 @query("sae_round_trip", digest_sql("list_transform(c, lambda v: greatest(v, 0.0))", "c"))
 def sae_round_trip(s, d):
     """A dictionary turned into an autoencoder and back encodes as relu(D x)."""
