@@ -1,6 +1,6 @@
 """N-gram Jaccard join by T-occurrence search over inverted lists.
 
-1. Equal texts become one set. 2. Every shingle gets its document frequency (``exchange``). A set's
+1. Equal texts become one set; their ids stay rows, and a hot text is read from one of them. 2. Every shingle gets its document frequency (``exchange``). A set's
 shingles are put in the order of frequency; two sets that link share one of the first
 ``n - ceil(t n) + 1`` of that order, so sets without a shared shingle there link with nothing.
 3. Sets that share such a shingle, directly or through others, form a cell. A cell of up to
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Layout, components, with_totals, written
-from .text import Words, give_back, input_bytes, pybytes, ragged, shingle_sets, sliced, small_batches, split64, xxhash
+from .text import Words, give_back, input_bytes, pybytes, ragged, shingle_sets, sliced, small_batches, split64
 
 SHINGLE, PERCENT = 4, 85
 CELL_BYTES = 8 << 20
 HELD_BYTES = 16 << 20
+HOT_ROWS, HOT_TEXTS = 1000, 100_000  # a text is hot with more rows than both HOT_ROWS and rows / HOT_TEXTS
 MU = 0.01  # cost of a probe against a merge step, as in the choice of the long lists
 
 
@@ -157,19 +158,19 @@ def _probe(post: np.ndarray, start: np.ndarray, length: np.ndarray, cand: np.nda
 
 
 def _distinct_texts(batches, n_blocks):
-    """Ids of equal texts together, as far as one task sees them."""
+    """Text, least id and number of rows of equal texts, as far as one task sees them."""
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([k[0] % n_blocks for k in held], pa.int64()), pa.array([np.array(v[0], np.int64).tobytes() for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.binary()).cast(pa.string())], ["block", "ids", "text"])
+        numbers = zip(*((t1 % n_blocks, t1, t2, *v[:3]) for (t1, t2), v in held.items()))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array([v[3] for v in held.values()], pa.binary()).cast(pa.string())], ["block", "t1", "t2", "least", "rows", "hot", "text"])
 
     held, size = {}, 0
     for b in sliced(batches, "text"):
-        for i, t in zip(b.column(0).to_pylist(), pybytes(b.column(1))):
-            key = divmod(xxhash.xxh3_128_intdigest(t), 1 << 64)
-            if key in held:
-                held[key][0].append(i)
+        for i, t1, t2, hot, t in zip(*(b.column(c).to_pylist() for c in range(4)), pybytes(b.column(4))):
+            if v := held.get((t1, t2)):
+                v[0], v[1] = min(v[0], i), v[1] + 1
             else:
-                held[key] = ([i], t)
+                held[t1, t2] = [i, 1, hot, t]
                 size += len(t)
         if size > HELD_BYTES:
             yield flush()
@@ -178,22 +179,33 @@ def _distinct_texts(batches, n_blocks):
         yield flush()
 
 
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in sorted_by], axis=0)])
+
+
 def _sets_of(table: pa.Table, n: int):
-    """Distinct sets of a block: ids of each, values and offsets."""
-    col = table["text"].combine_chunks()
-    w = Words(col, lower=True)
+    """Distinct sets of a block: values and offsets, and of each distinct text its set, least id, number of
+    rows and key. A text comes once from each task that saw it, a hot one from that of its least id."""
+    t1, t2, least, rows, hot = (table[c].to_numpy() for c in ("t1", "t2", "least", "rows", "hot"))
+    order = np.lexsort((t2, t1))
+    new = _runs(t1[order], t2[order])
+    known = np.maximum.reduceat(hot[order], new)
+    weight = np.where(known > 0, known, np.add.reduceat(rows[order], new))
+    least, pick = np.minimum.reduceat(least[order], new), order[new]
+    w = Words(table["text"].combine_chunks().take(pa.array(pick)), lower=True)
     values, off = shingle_sets(w.hashes(), w.off, n)
-    ids: dict[tuple, list[np.ndarray]] = {}
+    numbers: dict[tuple, int] = {}
+    own = np.empty(len(pick), np.int64)
     first: list[int] = []
-    for i, own in enumerate(pybytes(table["ids"].combine_chunks())):
+    for i in range(len(pick)):
         s = values[off[i] : off[i + 1]]
         key = (len(s), int(np.add.reduce(s)), int(np.bitwise_xor.reduce(split64(s)))) if len(s) else ()
-        if key not in ids:
-            ids[key] = []
+        own[i] = numbers.setdefault(key, len(first))
+        if own[i] == len(first):
             first.append(i)
-        ids[key].append(np.frombuffer(own, np.int64))
-    size = np.diff(off)[first] if first else np.empty(0, np.int64)
-    return [np.sort(np.concatenate(v)) for v in ids.values()], values[ragged(off[:-1][first], size)] if first else values[:0], np.concatenate(([0], np.cumsum(size)))
+    size = np.diff(off)[first]
+    return values[ragged(off[:-1][first], size)], np.concatenate(([0], np.cumsum(size))), (own, least, weight, t1[pick], t2[pick])
 
 
 def _links(tasks: DataFrame, percent: int, every: bool = False) -> DataFrame:
@@ -352,16 +364,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, size = df.sparkSession, input_bytes(df, text_col)
     layout = Layout.of(size)
     kind = df.select(id_col).schema[0].dataType
-    every = small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    src = every.where("id is not null")
-    blocked = src.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block long, ids binary, text string")
+    every = small_batches(df).select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    src = every.where("id is not null").select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    # which ids have a text stays a table of rows: the copies of one text may be a third of all
+    ids = written(src.select("id", "t1", "t2"))
+    copies = ids.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("hot"))
+    hot = written(copies.where(F.col("hot") > max(HOT_ROWS, ids.count() // HOT_TEXTS)))  # HOT_TEXTS rows at most
+    once = src.join(F.broadcast(hot), ["t1", "t2"], "left").where("hot is null or id = rep")
+    once = once.select("id", "t1", "t2", F.coalesce("hot", F.lit(0)).alias("hot"), "text")
+    blocked = once.mapInArrow(lambda it: _distinct_texts(it, layout.blocks), "block long, t1 long, t2 long, least long, rows long, hot long, text string")
 
     def keys_of(table):
-        _, values, _ = _sets_of(table, n)
+        values, _, _ = _sets_of(table, n)
         return np.unique(layout.keys(values), return_counts=True)
 
     def finish(table, totals):
-        ids, values, off = _sets_of(table, n)
+        values, off, (own, least, weight, t1, t2) = _sets_of(table, n)
         u, at = np.unique(layout.keys(values), return_inverse=True)
         df_of = totals[at] if len(values) else values
         first, sets = [], []
@@ -371,24 +389,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             shared = values[a:b][pick][df_of[a:b][pick] > 1]
             first.append(shared.view(np.int64).tolist())
             sets.append(values[a:b].tobytes() if len(shared) else None)
-        return pa.table({"rep": pa.array([int(i[0]) for i in ids], pa.int64()), "ids": pa.array([i.tolist() for i in ids], pa.list_(pa.int64())), "n": pa.array(np.diff(off)), "prefix": pa.array(first, pa.list_(pa.int64())), "values": pa.array(sets, pa.binary())})
-
-    sets = written(with_totals(blocked, layout, keys_of, finish, "rep long, ids array<long>, n long, prefix array<long>, values binary"))
-    entries = sets.where("values is not null").select("rep", F.xxhash64("values").alias("key"), F.explode("prefix").alias("tok"))
+        order = np.argsort(own, kind="stable")
+        new = _runs(own[order])
+        texts = pa.ListArray.from_arrays(pa.array(np.append(new, len(own)), pa.int32()), pa.StructArray.from_arrays([pa.array(t1[order]), pa.array(t2[order])], ["t1", "t2"]))
+        columns = {"rep": np.minimum.reduceat(least[order], new), "key": t1[order][new], "weight": np.add.reduceat(weight[order], new), "texts": texts, "n": np.diff(off)}
+        return pa.table(columns | {"prefix": pa.array(first, pa.list_(pa.int64())), "values": pa.array(sets, pa.binary())})
+
+    sets = written(with_totals(blocked, layout, keys_of, finish, "rep long, key long, weight long, texts array<struct<t1:long,t2:long>>, n long, prefix array<long>, values binary"))
+    entries = sets.where("values is not null").select("rep", "key", F.explode("prefix").alias("tok"))
     stars = entries.groupBy("tok").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").drop("z")
     cells = components(entries.join(stars, "tok").select(F.col("rep").alias("a"), "b"))
 
-    members = sets.where("values is not null").select("rep", "n", "values", F.xxhash64("values").alias("key"), F.size("ids").cast("long").alias("weight"))
+    members = sets.where("values is not null").select("rep", "n", "values", "key", "weight")
     members = members.join(cells.select(F.col("node").alias("rep"), F.col("label").alias("cell")), "rep")
     n_tasks = max(64, 4 * size // CELL_BYTES)
     found = written(every_link(members, entries, percent, n_tasks)) if links else cell_links(members.drop("weight"), entries, percent, n_tasks)
     labels = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "label")
-    out = sets.select("rep", "n", "ids", F.xxhash64("values").alias("key")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    out = sets.select("rep", "n", "key", "weight", "texts").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     if links:
         others = found.where("b is null").groupBy(F.col("a").alias("rep"), "key").agg(F.sum("n").alias("others"))
-        out = out.join(others, ["rep", "key"], "left").withColumn("n_links", F.when(F.col("n") > 0, F.size("ids") - 1 + F.coalesce("others", F.lit(0))).otherwise(0))
+        out = out.join(others, ["rep", "key"], "left").withColumn("n_links", F.when(F.col("n") > 0, F.col("weight") - 1 + F.coalesce("others", F.lit(0))).otherwise(0))
     more = ["n_links"] if links else []
-    out = out.select(F.explode("ids").alias("id"), F.col("n").alias("n_shingles"), "label", *more)
+    out = out.select(F.explode("texts").alias("t"), F.col("n").alias("n_shingles"), "label", *more).select("t.t1", "t.t2", "n_shingles", "label", *more)
+    if hot.isEmpty():
+        out = ids.join(out, ["t1", "t2"])
+    else:  # rows of hot texts stay where they are
+        out, keys = written(out), F.broadcast(hot.select("t1", "t2"))
+        few = F.broadcast(out.join(keys, ["t1", "t2"], "left_semi"))
+        out = ids.join(few, ["t1", "t2"]).unionByName(ids.join(keys, ["t1", "t2"], "left_anti").join(out, ["t1", "t2"]))
     out = out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"), *more)
     null = F.lit(None).cast("long")
     none = every.where("id is null").select("id", null.alias("n_shingles"), null.alias("component_id"), *(null.alias(c) for c in more))

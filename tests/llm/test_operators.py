@@ -326,6 +326,25 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert Counter((r[0], r[2]) for r in got) == {(None, None): 1, (3, 1): 2, (1, 1): 1, (7, 7): 1}
 
 
+def test_copies_of_a_hot_text(spark, monkeypatch):
+    """A third of all rows are one text, others are null; near copies of it and repeated rows are there too."""
+    base = " ".join(f"h{i}" for i in range(40))
+    texts = [base] * 60 + [None] * 40 + [f"{base} t{i}" for i in range(6)] + [f"{base.upper()} "] * 3 + [f"other {i} text {i} of its own" for i in range(20)]
+    rows = [*((i + 7, t) for i, t in enumerate(texts)), (7, base), (3, "other 1 text 1 of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    plain = [t or "" for _, t in rows]
+    label = [x for _, x in brute_components(plain)]
+    least = {x: min(r[0] for r, y in zip(rows, label) if x == y) for x in label}
+    want = Counter((r[0], least[x] if t else r[0], k) for r, t, x, k in zip(rows, plain, label, brute_links(plain)))
+    for hot in (3, 1000):
+        monkeypatch.setattr(jaccard_join, "HOT_ROWS", hot)
+        monkeypatch.setattr(jaccard_join, "HOT_TEXTS", 1000)
+        got = jaccard_join.near_duplicates(df).collect()
+        assert Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == want
+        few = jaccard_join.near_duplicates(df, links=False).collect()
+        assert Counter((r["doc_id"], r["component_id"]) for r in few) == Counter((r["doc_id"], r["component_id"]) for r in got)
+
+
 def test_search_finds_all_links():
     r = np.random.default_rng(2)
     for percent in (50, 85):
